@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NOT_ASCII = r"[^\x00-\x7F]"
+_NOT_ASCII = r"[^\x00-\x7F]+"
 
 
 @lru_cache(maxsize=1)
@@ -24,6 +25,8 @@ def substitutions() -> tuple[dict[str, str], dict[str, str]]:
     several: dict[str, str] = {}
     for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
+        if not unicodedata.decomposition(char):
+            continue
         left = "".join(c for c in unicodedata.normalize("NFKD", char) if c < "\x80")
         if len(left) == 1:
             single[char] = left
@@ -32,20 +35,34 @@ def substitutions() -> tuple[dict[str, str], dict[str, str]]:
     return single, several
 
 
+def _spans(chars: Iterable[str], gap: int = 64) -> str:
+    """A short character class that covers the characters; neighbours close by are included."""
+    spans: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if spans and code - spans[-1][1] <= gap:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "[" + "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in spans) + "]"
+
+
 def _expand(col: Column, several: dict[str, str]) -> Column:
     table = F.create_map(*[F.lit(part) for pair in several.items() for part in pair])
-    chars = F.split(col, "")
+    known = list(several)
+    # The membership test is a hash lookup, the map is searched entry by entry.
     return F.array_join(
-        F.transform(chars, lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), ""
+        F.transform(
+            F.split(col, ""),
+            lambda ch: F.when(ch.isin(known), F.try_element_at(table, ch)).otherwise(ch),
+        ),
+        "",
     )
 
 
 def ascii_fold(col: Column) -> Column:
     """Decompose and drop what is not ASCII: ``São`` to ``Sao``, ``ﬁ`` to ``fi``, ``ß`` to nothing."""
     single, several = substitutions()
-    expanded = F.when(
-        col.rlike("[" + "".join(several) + "]"), _expand(col, several)
-    ).otherwise(col)
+    expanded = F.when(col.rlike(_spans(several)), _expand(col, several)).otherwise(col)
     folded = F.regexp_replace(
         F.translate(expanded, "".join(single), "".join(single.values())), _NOT_ASCII, ""
     )

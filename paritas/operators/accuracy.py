@@ -49,7 +49,7 @@ def _paired(target: DataFrame, matcher: Matcher, columns: Sequence[str],
     """One row per mapped source row with a partner key: its values and those of the first
     target row with that key."""
     plan = matcher.plan
-    mapped = matcher.sides.source.select(*matcher.sides.source_columns)
+    mapped = matcher.mapped_source
     if match_on == KEYS_AND_VALUES:
         mapped = rows_with_keys(mapped, plan.source_keys, matcher.matched_keys())
     keyed = cast_keys(target, plan.target_keys)

@@ -35,21 +35,48 @@ def _kind(dtype: T.DataType) -> str:
     return "text" if isinstance(dtype, T.StringType) else dtype.simpleString()
 
 
+def join_key(text: Column) -> Column:
+    """The same text under another expression.
+
+    Only a join between two shuffles can be split when a key is hot. A side that was grouped by
+    its key counts as shuffled already and would be joined as it is; grouped by one expression
+    and joined on another it is shuffled again.
+    """
+    return F.concat(text, F.lit(""))
+
+
+@dataclass(frozen=True)
+class Side:
+    """One table ready to be compared. ``comparable`` maps helper names ``_k0..`` to the
+    comparable form of each key and value."""
+
+    rows: DataFrame
+    columns: tuple[str, ...]
+    compared: tuple[str, ...]
+    comparable: Mapping[str, Column]
+
+    def keyed(self) -> DataFrame:
+        return self.rows.withColumns(dict(self.comparable))
+
+    def distinct(self) -> DataFrame:
+        """Distinct combinations of the helpers, reduced on the map side."""
+        seen = self.rows.select(*dict.fromkeys(self.compared)).distinct()
+        return seen.select(*[col.alias(name) for name, col in self.comparable.items()])
+
+
 @dataclass(frozen=True)
 class Alignment:
-    """Both sides ready to be compared: ``source`` and ``target`` with helper columns
-    ``_k0.. `` that hold the comparable form of each key and value."""
-
-    source: DataFrame
-    target: DataFrame
-    source_columns: tuple[str, ...]
-    target_columns: tuple[str, ...]
-    pairs: tuple[tuple[str, str], ...]
+    source: Side
+    target: Side
     source_is_unique: bool
 
+    @property
+    def pairs(self) -> list[tuple[str, str]]:
+        return list(zip(self.source.compared, self.target.compared))
+
     @property
     def helpers(self) -> list[str]:
-        return [f"_k{place}" for place in range(len(self.pairs))]
+        return list(self.source.comparable)
 
 
 def align(
@@ -70,15 +97,14 @@ def align(
             raise ConfigError(f"column {a!r} is compared, but its mapping yields no column")
         if b not in typed.columns:
             raise ConfigError(f"the target has no column {b!r}")
-        left[f"_k{place}"], right[f"_k{place}"] = _comparable(
-            a, mapped.schema[a].dataType, b, typed.schema[b].dataType, scale
-        )
+        if place < len(plan.source_keys):
+            forms = join_key(F.col(a)), join_key(F.col(b))
+        else:
+            forms = _comparable(a, mapped.schema[a].dataType, b, typed.schema[b].dataType, scale)
+        left[f"_k{place}"], right[f"_k{place}"] = forms
     return Alignment(
-        mapped.withColumns(left),
-        typed.withColumns(right),
-        tuple(mapped.columns),
-        tuple(typed.columns),
-        tuple(pairs),
+        Side(mapped, tuple(mapped.columns), tuple(a for a, _ in pairs), left),
+        Side(typed, tuple(typed.columns), tuple(b for _, b in pairs), right),
         bool(plan.contributing),
     )
 
@@ -124,7 +150,13 @@ class Matcher:
     ):
         self.plan = TableMapping.of(mapping)
         self.sides = align(source, target, self.plan, order_by, scale)
-        self._keys = len(self.plan.source_keys)
+
+    @property
+    def mapped_source(self) -> DataFrame:
+        return self.sides.source.rows
+
+    def _same(self, left: DataFrame, right: DataFrame) -> Column:
+        return _same(left, right, self.sides.helpers, len(self.plan.source_keys))
 
     # -- output columns -------------------------------------------------------------------
 
@@ -134,56 +166,47 @@ class Matcher:
         A pair under one name becomes one column; other clashes get ``_x`` and ``_y``.
         """
         shared = {a for a, b in self.sides.pairs if a == b}
-        clashing = (set(self.sides.source_columns) & set(self.sides.target_columns)) - shared
-        layout: list[tuple[str, str | None, str | None]] = []
-        for name in self.sides.source_columns:
-            layout.append((f"{name}_x" if name in clashing else name, name,
-                           name if name in shared else None))
-        for name in self.sides.target_columns:
-            if name not in shared:
-                layout.append((f"{name}_y" if name in clashing else name, None, name))
+        ours, theirs = self.sides.source.columns, self.sides.target.columns
+        clashing = (set(ours) & set(theirs)) - shared
+        layout: list[tuple[str, str | None, str | None]] = [
+            (f"{name}_x" if name in clashing else name, name, name if name in shared else None)
+            for name in ours
+        ]
+        layout += [(f"{name}_y" if name in clashing else name, None, name)
+                   for name in theirs if name not in shared]
         return layout
 
     def _shape(self, rows: DataFrame, indicator: str | Column, left=None, right=None) -> DataFrame:
+        """Output columns of ``rows``; those of an absent side are NULL."""
         out = []
         for name, a, b in self._layout():
-            present = []
-            if left is not None and a is not None:
-                present.append(left[a])
-            if right is not None and b is not None:
-                present.append(right[b])
-            if not present:
-                side = self.sides.source if a is not None else self.sides.target
-                dtype = side.schema[a if a is not None else b].dataType
-                present.append(F.lit(None).cast(dtype))
-            out.append(F.coalesce(*present).alias(name) if len(present) > 1
-                       else present[0].alias(name))
+            found = [side[column] for side, column in ((left, a), (right, b))
+                     if side is not None and column is not None]
+            if not found:
+                side, column = (self.sides.source, a) if a is not None else (self.sides.target, b)
+                found = [F.lit(None).cast(side.rows.schema[column].dataType)]
+            out.append((F.coalesce(*found) if len(found) > 1 else found[0]).alias(name))
         label = F.lit(indicator) if isinstance(indicator, str) else indicator
         return rows.select(*out, label.alias(INDICATOR))
 
     # -- rows -----------------------------------------------------------------------------
 
-    def _distinct(self, side: DataFrame) -> DataFrame:
-        return side.select(*self.sides.helpers).distinct()
-
     def matched(self) -> DataFrame:
         """Rows present on both sides."""
-        left, right = self.sides.source, self.sides.target
-        rows = left.join(right, _same(left, right, self.sides.helpers, self._keys), "inner")
-        return self._shape(rows, BOTH, left, right)
+        left, right = self.sides.source.keyed(), self.sides.target.keyed()
+        return self._shape(left.join(right, self._same(left, right), "inner"), BOTH, left, right)
 
     def left_only(self) -> DataFrame:
         """Source rows without a partner."""
-        left, seen = self.sides.source, self._distinct(self.sides.target)
-        rows = left.join(seen, _same(left, seen, self.sides.helpers, self._keys), "left_anti")
+        left, seen = self.sides.source.keyed(), self.sides.target.distinct()
+        rows = left.join(seen, self._same(left, seen), "left_anti")
         return self._shape(rows, LEFT_ONLY, left=left)
 
     def right_only(self) -> DataFrame:
         """Target rows without a partner."""
-        right = self.sides.target
-        seen = self.sides.source if self.sides.source_is_unique else (
-            self._distinct(self.sides.source))
-        rows = right.join(seen, _same(right, seen, self.sides.helpers, self._keys), "left_anti")
+        right, source = self.sides.target.keyed(), self.sides.source
+        seen = source.keyed() if self.sides.source_is_unique else source.distinct()
+        rows = right.join(seen, self._same(right, seen), "left_anti")
         return self._shape(rows, RIGHT_ONLY, right=right)
 
     def unmatched(self) -> DataFrame:
@@ -197,8 +220,9 @@ class Matcher:
         """
         if not self.sides.source_is_unique:
             return self.matched().unionByName(self.unmatched())
-        left, right = self.sides.source.withColumn("_found", F.lit(True)), self.sides.target
-        rows = right.join(left, _same(left, right, self.sides.helpers, self._keys), "left")
+        left = self.sides.source.keyed().withColumn("_found", F.lit(True))
+        right = self.sides.target.keyed()
+        rows = right.join(left, self._same(right, left), "left")
         label = F.when(left["_found"].isNull(), RIGHT_ONLY).otherwise(BOTH)
         return self._shape(rows, label, left, right).unionByName(self.left_only())
 
@@ -211,8 +235,8 @@ class Matcher:
         matching rows are never formed. One shuffle, reduced on the map side, and no join.
         """
         helpers = self.sides.helpers
-        left = self.sides.source.select(*helpers, F.lit(1).alias("_s"), F.lit(0).alias("_t"))
-        right = self.sides.target.select(*helpers, F.lit(0).alias("_s"), F.lit(1).alias("_t"))
+        left = self.sides.source.keyed().select(*helpers, F.lit(1).alias("_s"), F.lit(0).alias("_t"))
+        right = self.sides.target.keyed().select(*helpers, F.lit(0).alias("_s"), F.lit(1).alias("_t"))
         sizes = left.unionByName(right).groupBy(*helpers).agg(
             F.sum("_s").alias("_s"), F.sum("_t").alias("_t")
         )
@@ -228,27 +252,19 @@ class Matcher:
 
     def matched_keys(self) -> DataFrame:
         """Distinct keys, as text, among the matched rows."""
-        both = self._distinct(self.sides.source).join(
-            self._distinct(self.sides.target).withColumnsRenamed(
-                {h: f"{h}_t" for h in self.sides.helpers}),
-            reduce(lambda a, b: a & b, [
-                F.col(h) == F.col(f"{h}_t") if place < self._keys
-                else F.col(h).eqNullSafe(F.col(f"{h}_t"))
-                for place, h in enumerate(self.sides.helpers)]),
-            "left_semi",
-        )
-        return both.select(*self.sides.helpers[: self._keys]).distinct()
+        left, right = self.sides.source.distinct(), self.sides.target.distinct()
+        both = left.join(right, self._same(left, right), "left_semi")
+        return both.select(*self.sides.helpers[: len(self.plan.source_keys)]).distinct()
 
 
 def rows_with_keys(df: DataFrame, keys: Sequence[str], wanted: DataFrame) -> DataFrame:
     """Rows whose keys, as text, occur among the rows of ``wanted`` (key columns in order)."""
     names = [f"_w{place}" for place in range(len(keys))]
-    seen = wanted.toDF(*names).distinct()
-    typed = df.withColumns(
-        {f"_t{i}": stringify(F.col(k), df.schema[k].dataType) for i, k in enumerate(keys)}
-    )
+    seen = wanted.toDF(*names).distinct().select(*[join_key(F.col(n)).alias(n) for n in names])
+    texts = [join_key(stringify(F.col(k), df.schema[k].dataType)) for k in keys]
+    keyed = df.withColumns({f"_t{place}": text for place, text in enumerate(texts)})
     same = reduce(lambda a, b: a & b, [F.col(f"_t{i}") == F.col(n) for i, n in enumerate(names)])
-    return typed.join(seen, same, "left_semi").select(*df.columns)
+    return keyed.join(seen, same, "left_semi").select(*df.columns)
 
 
 def first_per_key(

@@ -11,7 +11,7 @@ from ..functions import INTEGER_TEXT, text_to_double
 TRUE_TEXTS = ("True", "TRUE", "true")
 FALSE_TEXTS = ("False", "FALSE", "false")
 
-_LONG_LIMIT = 9.2e18
+_SAFE_LONG = 9.2e18  # closer to the limit of a long only its own text can tell
 
 
 def _as_long(col: Column) -> Column:
@@ -33,15 +33,15 @@ def inferred_types(df: DataFrame) -> dict[str, str]:
         col = F.col(_quote(name))
         # Parsed below the aggregate, so that each text is read once and not once per check.
         parsed += [
+            col.alias(f"text{place}"),
             col.isNotNull().alias(f"known{place}"),
-            _as_long(col).alias(f"as_long{place}"),
             text_to_double(col).alias(f"number{place}"),
             F.coalesce(col.isin(*TRUE_TEXTS, *FALSE_TEXTS), F.lit(False)).alias(f"is_flag{place}"),
         ]
         known, number = F.col(f"known{place}"), F.col(f"number{place}")
-        whole = (F.abs(number) < _LONG_LIMIT) & (F.rint(number) == number)
+        fits = (F.abs(number) < _SAFE_LONG) | _as_long(F.col(f"text{place}")).isNotNull()
+        whole = (F.rint(number) == number) & fits
         checks += [
-            F.count_if(known & F.col(f"as_long{place}").isNull()).alias(f"long{place}"),
             F.count_if(known & number.isNull()).alias(f"double{place}"),
             F.count_if(known & ~F.coalesce(whole, F.lit(False))).alias(f"whole{place}"),
             F.count_if(known & ~F.col(f"is_flag{place}")).alias(f"boolean{place}"),
@@ -49,7 +49,7 @@ def inferred_types(df: DataFrame) -> dict[str, str]:
     failures = df.select(*parsed).agg(*checks).first()
     types = {}
     for place, name in enumerate(df.columns):
-        if not failures[f"long{place}"] or not failures[f"whole{place}"]:
+        if not failures[f"whole{place}"]:
             types[name] = "bigint"
         elif not failures[f"double{place}"]:
             types[name] = "double"
