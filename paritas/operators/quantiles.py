@@ -14,8 +14,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import to_numeric
+from ..functions import fold_nan, to_numeric
 
 _CELLS_PER_OCTAVE = 256
 _OFFSET = 300_000  # beyond the lowest logarithm of a double, 1074 octaves below one
@@ -103,5 +104,6 @@ def exact_quantiles(
         low = F.max(F.when(F.col("_t.slot") == 2 * place, F.col("_v")))
         high = F.max(F.when(F.col("_t.slot") == 2 * place + 1, F.col("_v")))
         share = F.max(F.when(F.col("_t.slot") == 2 * place, F.col("_t.share")))
-        picks.append(F.when(low == high, low).otherwise(low + (high - low) * share).alias(name))
+        between = F.when(low == high, low).otherwise(low + (high - low) * share)
+        picks.append(fold_nan(between, T.DoubleType()).alias(name))
     return found.groupBy(*keys).agg(*picks)
