@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from .missing import NULL_TEXT, fold_nan, is_float
 
+WHITE_SPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
+
 
 def _float_text(col: Column) -> Column:
     """Java prints 1.0E7 and 1.0E-5 where plain text wants 10000000.0 and 1e-05."""
@@ -54,4 +56,4 @@ def text_equal_ci(left: Column, right: Column) -> Column:
 
 def strip(col: Column) -> Column:
     """Remove every kind of white space at both ends, not only the blank."""
-    return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(col, F.lit(WHITE_SPACE))

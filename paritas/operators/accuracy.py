@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AGGREGATION, CONVERSION, ColumnMapping
-from ..functions import is_close, percentage, percentage_text, stringify, text_equal_ci
+from ..functions import field, fields, is_close, percentage, percentage_text, stringify, text_equal_ci
 from .aggregates import drop_incomplete_keys
 from .keys import cast_keys
 from .matching import Matcher, first_per_key, rows_with_keys
@@ -18,7 +18,7 @@ KEYS, KEYS_AND_VALUES = "keys", "keys_and_values"
 
 
 def _distinct_keys(df: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
-    found = drop_incomplete_keys(df, keys).select(*keys).distinct()
+    found = drop_incomplete_keys(df, keys).select(*fields(keys)).distinct()
     return found.agg(F.count(F.lit(1)).alias("amount")).select(F.lit(metric).alias("metric"), "amount")
 
 
@@ -55,12 +55,12 @@ def _paired(target: DataFrame, matcher: Matcher, columns: Sequence[str],
     keyed = cast_keys(target, plan.target_keys)
     partners = first_per_key(keyed, plan.target_keys, list(dict.fromkeys(destinations)), target_order)
     left = mapped.select(
-        *[F.col(k).alias(f"_s{i}") for i, k in enumerate(plan.source_keys)],
-        *[F.col(c).alias(f"_a{i}") for i, c in enumerate(columns)],
+        *[field(k).alias(f"_s{i}") for i, k in enumerate(plan.source_keys)],
+        *[field(c).alias(f"_a{i}") for i, c in enumerate(columns)],
     )
     right = partners.select(
-        *[F.col(k).alias(f"_t{i}") for i, k in enumerate(plan.target_keys)],
-        *[F.col(d).alias(f"_b{i}") for i, d in enumerate(destinations)],
+        *[field(k).alias(f"_t{i}") for i, k in enumerate(plan.target_keys)],
+        *[field(d).alias(f"_b{i}") for i, d in enumerate(destinations)],
     )
     same = reduce(lambda a, b: a & b,
                   [F.col(f"_s{i}") == F.col(f"_t{i}") for i in range(len(plan.source_keys))])

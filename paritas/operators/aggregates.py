@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ConfigError
-from ..functions import fold_nan
+from ..functions import field, fields, fold_nan, typed
 from .quantiles import exact_quantiles
 
 NUMERIC_ONLY = {"sum", "mean", "median", "std", "var", "prod"}
@@ -20,10 +20,10 @@ REDUCERS = NUMERIC_ONLY | {"first", "last", "min", "max", "count", "nunique"}
 def _order(order_by: Sequence[str] | None, reducer: str) -> Column:
     if not order_by:
         raise ConfigError(f"{reducer!r} depends on the row order: name the ordering columns")
-    return F.struct(*[F.col(name) for name in order_by])
+    return F.struct(*fields(order_by))
 
 
-def _reducer(reducer: str, col: Column, dtype: T.DataType, order_by, scale: int | None) -> Column:
+def _reducer(reducer: str, col: Column, order_by, scale: int | None) -> Column:
     if reducer == "first":
         return F.min_by(col, F.when(col.isNotNull(), _order(order_by, reducer)))
     if reducer == "last":
@@ -47,15 +47,15 @@ def check_reducer(reducer: str, column: str, dtype: T.DataType) -> None:
 
 def drop_incomplete_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows with a missing key component belong to no group."""
-    complete = [fold_nan(F.col(k), df.schema[k].dataType).isNotNull() for k in keys]
+    complete = [fold_nan(*typed(df, k)).isNotNull() for k in keys]
     return df.where(reduce(lambda a, b: a & b, complete))
 
 
 def distinct_per_key(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Distinct values per key, counted in two steps so that a hot key is spread by value."""
-    v = fold_nan(F.col(value), df.schema[value].dataType)
-    pairs = df.select(*keys, v.alias("_value")).groupBy(*keys, "_value").agg(F.lit(1).alias("_one"))
-    return pairs.groupBy(*keys).agg(F.count("_value").alias(name))
+    v = fold_nan(*typed(df, value))
+    pairs = df.select(*fields(keys), v.alias("_value")).groupBy(*fields(keys), "_value").agg(F.lit(1).alias("_one"))
+    return pairs.groupBy(*fields(keys)).agg(F.count("_value").alias(name))
 
 
 def aggregate(
@@ -70,7 +70,7 @@ def aggregate(
     All reducers that combine on the map side share one aggregate. Medians and distinct counts
     are computed apart and joined on the key, because their state grows with the group.
     """
-    keys = list(keys)
+    keys, names = list(keys), fields(keys)
     rows = drop_incomplete_keys(df, keys)
     together, apart = [], []
     for column, reducer, name in reducers:
@@ -81,10 +81,11 @@ def aggregate(
         elif reducer == "nunique":
             apart.append((name, distinct_per_key(rows, keys, column, name)))
         else:
-            col = F.col(column).cast("int") if isinstance(dtype, T.BooleanType) and (
-                reducer in NUMERIC_ONLY) else fold_nan(F.col(column), dtype)
-            together.append(_reducer(reducer, col, dtype, order_by, scale).alias(name))
-    out = rows.groupBy(*keys).agg(*together) if together else rows.select(*keys).distinct()
+            col = fold_nan(field(column), dtype)
+            if isinstance(dtype, T.BooleanType) and reducer in NUMERIC_ONLY:
+                col = col.cast("int")
+            together.append(_reducer(reducer, col, order_by, scale).alias(name))
+    out = rows.groupBy(*names).agg(*together) if together else rows.select(*names).distinct()
     for _, side in apart:
         out = out.join(side, keys, "left")
-    return out.select(*keys, *[name for _, _, name in reducers])
+    return out.select(*names, *fields(name for _, _, name in reducers))

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import stringify
+from ..functions import stringify, typed
 
 _PREFIX_DIGITS = 15  # 60 bits, so that sums of a trillion rows stay far below 38 digits
 
 
 def row_digest(df: DataFrame, columns: Sequence[str] | None = None, separator: str = "\x1f") -> Column:
     """SHA-256 of the canonical texts of a row."""
-    texts = [stringify(F.col(f"`{c}`"), df.schema[c].dataType) for c in (columns or df.columns)]
+    texts = [stringify(*typed(df, c)) for c in (columns or df.columns)]
     return F.sha2(F.concat_ws(separator, *texts), 256)
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import AGGREGATION, CONVERSION, ConfigError, TableMapping
-from ..functions import NULL_TEXT, stringify, text_or_null
+from ..functions import NULL_TEXT, field, fields, stringify, text_or_null, typed
 from .aggregates import aggregate
+from .keys import join_key
 
 # A literal map is scanned entry by entry, so beyond this size a join is the better lookup.
 LITERAL_MAP_LIMIT = 100
@@ -34,13 +35,13 @@ def convert_by_join(
     value, where a frequent value is split by the skew handling of the left side.
     """
     dtype = df.schema[column].dataType
-    own = text_or_null(F.col(column), dtype)
-    table = dictionary.select(F.col(key).alias("_lookup"), F.col(to).alias("_converted"))
-    looked_up = df.withColumn("_text", stringify(F.col(column), dtype)).join(
+    own = text_or_null(field(column), dtype)
+    table = dictionary.select(join_key(field(key)).alias("_lookup"), field(to).alias("_converted"))
+    looked_up = df.withColumn("_text", join_key(stringify(field(column), dtype))).join(
         table, F.col("_text") == F.col("_lookup"), "left"
     )
     converted = looked_up.withColumn(column, F.coalesce(F.col("_converted"), own))
-    return converted.select(*df.columns)
+    return converted.select(*fields(df.columns))
 
 
 def _dictionary_table(df: DataFrame, dictionary: Mapping[str, str]) -> DataFrame:
@@ -50,13 +51,13 @@ def _dictionary_table(df: DataFrame, dictionary: Mapping[str, str]) -> DataFrame
 def convert_column(df: DataFrame, column: str, dictionary: Mapping[str, str]) -> DataFrame:
     if len(dictionary) > LITERAL_MAP_LIMIT:
         return convert_by_join(df, column, _dictionary_table(df, dictionary))
-    return df.withColumn(column, convert_values(F.col(column), df.schema[column].dataType, dictionary))
+    return df.withColumn(column, convert_values(*typed(df, column), dictionary))
 
 
 def project_mapped(df: DataFrame, mapping: Mapping | TableMapping) -> DataFrame:
     """Key columns and the columns that contribute to the mapping."""
     plan = TableMapping.of(mapping)
-    return df.select(*plan.source_keys, *[entry.column for entry in plan.contributing])
+    return df.select(*fields([*plan.source_keys, *[entry.column for entry in plan.contributing]]))
 
 
 def apply_rules(
@@ -82,8 +83,8 @@ def apply_rules(
         if entry.column in keys:
             raise ConfigError(f"key column {entry.column!r} cannot be mapped as a value as well")
     needed = list(dict.fromkeys([*keys, *[e.column for e in entries]]))
-    ordering = {f"_order{i}": F.col(name) for i, name in enumerate(order_by or [])}
-    rows = df.select(*needed, *[col.alias(name) for name, col in ordering.items()])
+    ordering = {f"_order{i}": field(name) for i, name in enumerate(order_by or [])}
+    rows = df.select(*fields(needed), *[col.alias(name) for name, col in ordering.items()])
     reducers = []
     for entry in entries:
         if entry.function == CONVERSION:
@@ -100,7 +101,7 @@ def distinct_value_targets(df: DataFrame, column: str, dictionary: Mapping[str,
     """
     dtype = df.schema[column].dataType
     counted = (
-        df.select(text_or_null(F.col(column), dtype).alias("_text"))
+        df.select(text_or_null(field(column), dtype).alias("_text"))
         .groupBy("_text").agg(F.count("_text").alias("row_count"))
     )
     text = F.coalesce(F.col("_text"), F.lit(NULL_TEXT))

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ConfigError, TableMapping
-from ..functions import fold_nan, stringify
-from .keys import cast_keys
+from ..functions import field, fields, fold_nan, quoted, stringify, typed
+from .keys import cast_keys, join_key
 from .mapping import apply_rules
 
 INDICATOR = "_merge"
@@ -35,16 +35,6 @@ def _kind(dtype: T.DataType) -> str:
     return "text" if isinstance(dtype, T.StringType) else dtype.simpleString()
 
 
-def join_key(text: Column) -> Column:
-    """The same text under another expression.
-
-    Only a join between two shuffles can be split when a key is hot. A side that was grouped by
-    its key counts as shuffled already and would be joined as it is; grouped by one expression
-    and joined on another it is shuffled again.
-    """
-    return F.concat(text, F.lit(""))
-
-
 @dataclass(frozen=True)
 class Side:
     """One table ready to be compared. ``comparable`` maps helper names ``_k0..`` to the
@@ -60,7 +50,7 @@ class Side:
 
     def distinct(self) -> DataFrame:
         """Distinct combinations of the helpers, reduced on the map side."""
-        seen = self.rows.select(*dict.fromkeys(self.compared)).distinct()
+        seen = self.rows.select(*fields(dict.fromkeys(self.compared))).distinct()
         return seen.select(*[col.alias(name) for name, col in self.comparable.items()])
 
 
@@ -89,22 +79,24 @@ def align(
     plan = TableMapping.of(mapping)
     plan.require_keys()
     mapped = cast_keys(apply_rules(source, plan, order_by, scale), plan.source_keys)
-    typed = cast_keys(target, plan.target_keys)
+    # Renewed columns, since source and target may stem from the same DataFrame.
+    renewed = target.select(*[field(name).alias(name) for name in target.columns])
+    keyed = cast_keys(renewed, plan.target_keys)
     pairs = [*zip(plan.source_keys, plan.target_keys), *plan.joined]
     left, right = {}, {}
     for place, (a, b) in enumerate(pairs):
         if a not in mapped.columns:
             raise ConfigError(f"column {a!r} is compared, but its mapping yields no column")
-        if b not in typed.columns:
+        if b not in keyed.columns:
             raise ConfigError(f"the target has no column {b!r}")
         if place < len(plan.source_keys):
-            forms = join_key(F.col(a)), join_key(F.col(b))
+            forms = join_key(field(a)), join_key(field(b))
         else:
-            forms = _comparable(a, mapped.schema[a].dataType, b, typed.schema[b].dataType, scale)
+            forms = _comparable(a, mapped.schema[a].dataType, b, keyed.schema[b].dataType, scale)
         left[f"_k{place}"], right[f"_k{place}"] = forms
     return Alignment(
         Side(mapped, tuple(mapped.columns), tuple(a for a, _ in pairs), left),
-        Side(typed, tuple(typed.columns), tuple(b for _, b in pairs), right),
+        Side(keyed, tuple(keyed.columns), tuple(b for _, b in pairs), right),
         bool(plan.contributing),
     )
 
@@ -114,7 +106,7 @@ def _comparable(a: str, left: T.DataType, b: str, right: T.DataType, scale: int
         raise ConfigError(
             f"cannot compare {a!r} ({left.simpleString()}) with {b!r} ({right.simpleString()})"
         )
-    one, other = fold_nan(F.col(a), left), fold_nan(F.col(b), right)
+    one, other = fold_nan(field(a), left), fold_nan(field(b), right)
     if _kind(left) == "number":
         if scale is not None:
             wide = T.DecimalType(38, scale)
@@ -180,7 +172,7 @@ class Matcher:
         """Output columns of ``rows``; those of an absent side are NULL."""
         out = []
         for name, a, b in self._layout():
-            found = [side[column] for side, column in ((left, a), (right, b))
+            found = [side[quoted(column)] for side, column in ((left, a), (right, b))
                      if side is not None and column is not None]
             if not found:
                 side, column = (self.sides.source, a) if a is not None else (self.sides.target, b)
@@ -261,10 +253,10 @@ def rows_with_keys(df: DataFrame, keys: Sequence[str], wanted: DataFrame) -> Dat
     """Rows whose keys, as text, occur among the rows of ``wanted`` (key columns in order)."""
     names = [f"_w{place}" for place in range(len(keys))]
     seen = wanted.toDF(*names).distinct().select(*[join_key(F.col(n)).alias(n) for n in names])
-    texts = [join_key(stringify(F.col(k), df.schema[k].dataType)) for k in keys]
+    texts = [join_key(stringify(*typed(df, k))) for k in keys]
     keyed = df.withColumns({f"_t{place}": text for place, text in enumerate(texts)})
     same = reduce(lambda a, b: a & b, [F.col(f"_t{i}") == F.col(n) for i, n in enumerate(names)])
-    return keyed.join(seen, same, "left_semi").select(*df.columns)
+    return keyed.join(seen, same, "left_semi").select(*fields(df.columns))
 
 
 def first_per_key(
@@ -275,6 +267,6 @@ def first_per_key(
     A minimum over structs instead of a ranking window: it combines on the map side, so a hot
     key never travels to one task as a whole.
     """
-    first = F.min_by(F.struct(*values), F.struct(*order_by))
-    rows = df.groupBy(*keys).agg(first.alias("_first"))
-    return rows.select(*keys, *[F.col(f"_first.{v}").alias(v) for v in values])
+    first = F.min_by(F.struct(*fields(values)), F.struct(*fields(order_by)))
+    rows = df.groupBy(*fields(keys)).agg(first.alias("_first"))
+    return rows.select(*fields(keys), *[F.col("_first")[v].alias(v) for v in values])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import fold_nan, is_missing, text_or_null, to_numeric
+from ..functions import field, fields, fold_nan, is_missing, stringify, text_or_null, to_numeric, typed
 from .quantiles import exact_quantiles
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -37,7 +37,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     The columns are stacked into one keyed column. The quartiles are exact and bounded per task.
     """
     names = list(columns or numeric_columns(df))
-    stacked = _melt(df, {n: to_numeric(F.col(n), df.schema[n].dataType) for n in names})
+    stacked = _melt(df, {n: to_numeric(*typed(df, n)) for n in names})
     moments = stacked.groupBy("column_name").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
@@ -57,7 +57,7 @@ def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) ->
     Of several most frequent values the smallest is reported.
     """
     names = list(columns or text_columns(df))
-    stacked = _melt(df, {n: text_or_null(F.col(n), df.schema[n].dataType) for n in names})
+    stacked = _melt(df, {n: text_or_null(*typed(df, n)) for n in names})
     sizes = stacked.groupBy("column_name", "value").agg(F.count("value").alias("_size"))
     known = F.when(F.col("value").isNotNull(), F.struct((-F.col("_size")).alias("size"), "value"))
     return sizes.groupBy("column_name").agg(
@@ -73,16 +73,15 @@ def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) ->
 def null_profile(df: DataFrame) -> DataFrame:
     """``column_name, null_count`` from one aggregate over all columns."""
     counts = df.agg(
-        *[F.count_if(is_missing(F.col(f"`{f.name}`"), f.dataType)).alias(f.name)
-          for f in df.schema.fields]
+        *[F.count_if(is_missing(*typed(df, c))).alias(c) for c in df.columns]
     )
-    return _melt(counts, {c: F.col(f"`{c}`") for c in df.columns}).withColumnRenamed(
+    return _melt(counts, {c: field(c) for c in df.columns}).withColumnRenamed(
         "value", "null_count"
     )
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    value = fold_nan(F.col(column), df.schema[column].dataType)
+    value = fold_nan(*typed(df, column))
     known = df.select(value.alias("value")).where(F.col("value").isNotNull())
     return known.groupBy("value").agg(F.count(F.lit(1)).alias("row_count"))
 
@@ -94,13 +93,13 @@ def topk_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     """Distinct values of a column, the missing one included."""
-    value = fold_nan(F.col(column), df.schema[column].dataType)
+    value = fold_nan(*typed(df, column))
     return df.select(value.alias("value")).distinct()
 
 
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:
     """First rows in a stated order."""
-    return df.orderBy(*order_by).limit(n)
+    return df.orderBy(*fields(order_by)).limit(n)
 
 
 def seeded_sample(df: DataFrame, key: Sequence[str], n: int = 1000, seed: int = 42) -> DataFrame:
@@ -108,6 +107,6 @@ def seeded_sample(df: DataFrame, key: Sequence[str], n: int = 1000, seed: int =
 
     Rows are ranked by a digest of seed and row key. Each task keeps its own best ``n``.
     """
-    parts = [F.coalesce(text_or_null(F.col(k), df.schema[k].dataType), F.lit("<NA>")) for k in key]
+    parts = [stringify(*typed(df, k)) for k in key]
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
-    return df.orderBy(digest, *key).limit(n)
+    return df.orderBy(digest, *fields(key)).limit(n)

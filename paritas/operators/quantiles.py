@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import fold_nan, to_numeric
+from ..functions import fields, fold_nan, to_numeric, typed
 
 _CELLS_PER_OCTAVE = 256
 _OFFSET = 300_000  # beyond the lowest logarithm of a double, 1074 octaves below one
@@ -43,7 +43,7 @@ def _fine(v: Column, low: Column, high: Column) -> Column:
 def _holding(cells: DataFrame, group: list[str], order: str, wanted: Column) -> DataFrame:
     """Rows of ``cells`` that hold a wanted rank, with the ranks made relative to the row."""
     upto = F.sum("_count").over(
-        Window.partitionBy(*(group or [F.lit(0)])).orderBy(order)
+        Window.partitionBy(*(fields(group) or [F.lit(0)])).orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     placed = cells.withColumn("_upto", upto).withColumn("_wanted", wanted)
@@ -60,14 +60,14 @@ def exact_quantiles(
 
     Keys must not be NULL. Missing values do not count; a key without values gets no row.
     """
-    keys = list(keys)
-    v = to_numeric(F.col(value), df.schema[value].dataType)
+    keys, names = list(keys), fields(keys)
+    v = to_numeric(*typed(df, value))
     counted = (
-        df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
-        .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_count"))
+        df.select(*names, v.alias("_v")).where(F.col("_v").isNotNull())
+        .groupBy(*names, "_v").agg(F.count(F.lit(1)).alias("_count"))
         .withColumn("_coarse", _coarse(F.col("_v")))
     )
-    everything = F.sum("_count").over(Window.partitionBy(*(keys or [F.lit(0)])))
+    everything = F.sum("_count").over(Window.partitionBy(*(names or [F.lit(0)])))
     wanted = F.array(
         *[
             F.struct(
@@ -79,25 +79,25 @@ def exact_quantiles(
             for side in (0, 1)
         ]
     )
-    coarse = counted.groupBy(*keys, "_coarse").agg(
+    coarse = counted.groupBy(*names, "_coarse").agg(
         F.sum("_count").alias("_count"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
     ).withColumn("_n", everything)
     in_coarse = _holding(coarse, keys, "_coarse", wanted).select(
-        *keys, "_coarse", "_low", "_high", "_wanted"
+        *names, "_coarse", "_low", "_high", "_wanted"
     )
     near = counted.join(in_coarse, [*keys, "_coarse"]).withColumn(
         "_fine", _fine(F.col("_v"), F.col("_low"), F.col("_high"))
     )
     cell = [*keys, "_coarse", "_fine"]
-    fine = near.groupBy(*cell).agg(
+    fine = near.groupBy(*fields(cell)).agg(
         F.sum("_count").alias("_count"), F.any_value("_wanted").alias("_ranks")
     )
     in_fine = _holding(fine, cell[:-1], "_fine", F.col("_ranks")).select(
-        *cell, F.col("_wanted").alias("_ranks")
+        *fields(cell), F.col("_wanted").alias("_ranks")
     )
     values = near.drop("_wanted").join(in_fine, cell)
     found = _holding(values, cell, "_v", F.col("_ranks")).select(
-        *keys, "_v", F.explode("_wanted").alias("_t")
+        *names, "_v", F.explode("_wanted").alias("_t")
     )
     picks = []
     for place, name in enumerate(quantiles):
@@ -106,4 +106,4 @@ def exact_quantiles(
         share = F.max(F.when(F.col("_t.slot") == 2 * place, F.col("_t.share")))
         between = F.when(low == high, low).otherwise(low + (high - low) * share)
         picks.append(fold_nan(between, T.DoubleType()).alias(name))
-    return found.groupBy(*keys).agg(*picks)
+    return found.groupBy(*names).agg(*picks)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..config import ALLOWED_RULE, NULL_RULE, RANGE_RULE, REGEX_RULE, UNIQUE_RULE, Rule, RuleSet
 from ..functions import (
+    fields,
     fold_nan,
     is_missing,
     match_at_start,
@@ -22,6 +23,7 @@ from ..functions import (
     stringify,
     threshold_status,
     to_numeric,
+    typed,
 )
 
 # The headers of the report, for those who want them instead of the column names used here.
@@ -106,7 +108,7 @@ def outside_bounds(col: Column, dtype: T.DataType, low: float | None, high: floa
 
 def fails(df: DataFrame, rule: Rule) -> Column:
     """Predicate behind the fail count of a rule other than uniqueness."""
-    col, dtype = F.col(rule.column), df.schema[rule.column].dataType
+    col, dtype = typed(df, rule.column)
     if rule.name == NULL_RULE:
         return is_missing(col, dtype)
     if rule.name == ALLOWED_RULE:
@@ -121,7 +123,7 @@ def fails(df: DataFrame, rule: Rule) -> Column:
 def shows_as_failing(df: DataFrame, rule: Rule) -> Column:
     """Predicate behind the rows listed for a rule other than uniqueness."""
     if rule.name == RANGE_RULE:
-        return outside_bounds(F.col(rule.column), df.schema[rule.column].dataType, rule.low, rule.high)
+        return outside_bounds(*typed(df, rule.column), rule.low, rule.high)
     return fails(df, rule)
 
 
@@ -153,7 +155,7 @@ def _counts(df: DataFrame, numbered: Sequence[tuple[int, Rule]]) -> DataFrame:
 def _unique_count(df: DataFrame, no: int, rule: Rule) -> DataFrame:
     """Distinct values pass, all other rows fail. Grouped by value first, so that neither a hot
     value nor a large number of values meets in one task."""
-    value = fold_nan(F.col(rule.column), df.schema[rule.column].dataType)
+    value = fold_nan(*typed(df, rule.column))
     sizes = df.select(value.alias("_value")).groupBy("_value").agg(F.count(F.lit(1)).alias("_size"))
     counts = sizes.agg(
         F.count("_value").alias("pass_count"),
@@ -210,14 +212,14 @@ def failing_duplicates(df: DataFrame, column: str) -> DataFrame:
     The repeated values are found by a two-step count and looked up with a semi join. A window
     over the value would gather a hot value in one task, the left side of a semi join is split.
     """
-    value = fold_nan(F.col(column), df.schema[column].dataType)
+    value = fold_nan(*typed(df, column))
     keyed = df.withColumn("_value", value)
     repeated = (
         keyed.groupBy("_value").agg(F.count(F.lit(1)).alias("_size"))
         .where(F.col("_size") > 1).select(F.col("_value").alias("_repeated"))
     )
     same = F.col("_value").eqNullSafe(F.col("_repeated"))
-    return keyed.join(repeated, same, "left_semi").select(*df.columns)
+    return keyed.join(repeated, same, "left_semi").select(*fields(df.columns))
 
 
 def rule_details(df: DataFrame, rules: RuleSet) -> DataFrame:
@@ -238,14 +240,14 @@ def rule_details(df: DataFrame, rules: RuleSet) -> DataFrame:
         hits = F.array(*[F.when(shows_as_failing(df, r), tagged(no, r)) for no, r in row_wise])
         parts.append(
             df.withColumn("_tag", F.explode(F.filter(hits, lambda t: t.isNotNull())))
-            .select("_tag.*", *df.columns)
+            .select("_tag.*", *fields(df.columns))
         )
     for no, rule in numbered:
         if rule.name == UNIQUE_RULE:
             rows = failing_duplicates(df, rule.column).withColumn("_tag", tagged(no, rule).cast(tag))
-            parts.append(rows.select("_tag.*", *df.columns))
+            parts.append(rows.select("_tag.*", *fields(df.columns)))
     if not parts:
-        return df.limit(0).withColumn("_tag", F.lit(None).cast(tag)).select("_tag.*", *df.columns)
+        return df.limit(0).withColumn("_tag", F.lit(None).cast(tag)).select("_tag.*", *fields(df.columns))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

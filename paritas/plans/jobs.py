@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TableMapping
-from ..functions import fixed_text
+from ..functions import fields, fixed_text
 from ..operators.accuracy import KEYS, key_match_stats, mapping_accuracy
 from ..operators.digest import dataset_fingerprint
 from ..operators.matching import Matcher
@@ -65,7 +65,7 @@ def profile_table(df: DataFrame, order_by: Sequence[str], preview_rows: int = 5)
     session = df.sparkSession
     parts = [
         _lines(preview(df, order_by, preview_rows), "preview", F.lit(None).cast("string"),
-               {"row": F.to_json(F.struct(*df.columns))}),
+               {"row": F.to_json(F.struct(*fields(df.columns)))}),
         session.createDataFrame(
             [("types", name, "type", kind) for name, kind in df.dtypes],
             "section string, column_name string, metric string, value string",

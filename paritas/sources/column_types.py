@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import INTEGER_TEXT, text_to_double
+from ..functions import INTEGER_TEXT, field, text_to_double
 
 # The texts that mean true and false.
 TRUE_TEXTS = ("True", "TRUE", "true")
@@ -18,10 +18,6 @@ def _as_long(col: Column) -> Column:
     return F.when(col.rlike(INTEGER_TEXT), col.try_cast("bigint"))
 
 
-def _quote(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def inferred_types(df: DataFrame) -> dict[str, str]:
     """``bigint``, ``double``, ``boolean`` or ``string`` per text column.
 
@@ -30,7 +26,7 @@ def inferred_types(df: DataFrame) -> dict[str, str]:
     """
     parsed, checks = [], []
     for place, name in enumerate(df.columns):
-        col = F.col(_quote(name))
+        col = field(name)
         # Parsed below the aggregate, so that each text is read once and not once per check.
         parsed += [
             col.alias(f"text{place}"),
@@ -63,7 +59,7 @@ def inferred_types(df: DataFrame) -> dict[str, str]:
 def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     out = []
     for name in df.columns:
-        col, kind = F.col(_quote(name)), types.get(name, "string")
+        col, kind = field(name), types.get(name, "string")
         if kind == "bigint":
             cast = F.coalesce(_as_long(col), text_to_double(col).cast("bigint"))
         elif kind == "double":

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import null_tokens_to_null
+from ..functions import field, null_tokens_to_null
 from .files import delimiter_of
 from .column_types import infer_types
 
@@ -95,7 +95,7 @@ def scan_csv(
 def read_csv(spark: SparkSession, path: str, infer: bool = True, **scan_options) -> DataFrame:
     """Scan, turn null tokens into NULL and give every column its type."""
     text = scan_csv(spark, path, **scan_options)
-    text = text.select(*[null_tokens_to_null(F.col(f"`{c}`")).alias(c) for c in text.columns])
+    text = text.select(*[null_tokens_to_null(field(c)).alias(c) for c in text.columns])
     return infer_types(text) if infer and text.columns else text
 
 

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text_or_null
+from ..functions import field, text_or_null, typed
 
 
 def export_cast(df: DataFrame) -> DataFrame:
@@ -14,8 +13,8 @@ def export_cast(df: DataFrame) -> DataFrame:
     nested = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
     return df.select(
         *[
-            (text_or_null(F.col(f"`{f.name}`"), f.dataType) if isinstance(f.dataType, nested)
-             else F.col(f"`{f.name}`")).alias(f.name)
+            (text_or_null(field(f.name), f.dataType) if isinstance(f.dataType, nested)
+             else field(f.name)).alias(f.name)
             for f in df.schema.fields
         ]
     )
@@ -24,7 +23,7 @@ def export_cast(df: DataFrame) -> DataFrame:
 def export_csv(df: DataFrame, path: str, delimiter: str = ",") -> None:
     """Header CSV without an index; missing values are empty."""
     text = df.select(
-        *[text_or_null(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
+        *[text_or_null(*typed(df, name)).alias(name) for name in df.columns]
     )
     (
         text.write.option("header", True)

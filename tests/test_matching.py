@@ -83,6 +83,29 @@ def test_column_names(spark):
     assert got == [("1", "a", None, "left_only"), ("2", "b", 20, "both"), ("3", "c", 30, "right_only")]
 
 
+def test_a_table_matches_itself(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, "b")], "k int, v string")
+    m = Matcher(df, df, mapping([("k", "k")]))
+    assert m.merged().columns == ["k", "v_x", "v_y", "_merge"]
+    assert kinds(m.merged()) == {"both": 5} and stats(m.stats()) == (5, 0, 0)
+    mapped = Matcher(df, df, mapping([("k", "k")], v="v"), order_by=["v"])
+    assert kinds(mapped.merged()) == {"both": 2, "right_only": 1}
+    assert {tuple(r) for r in mapped.merged().collect()} == {
+        ("1", "a", "both"), ("2", "b", "both"), ("2", None, "right_only")}
+
+
+def test_dotted_names(spark):
+    source = spark.createDataFrame([(1, "a", 1, 2.0), (2, "b", 2, 3.0)], "`a.1` int, `v.x` string, `o.o` int, `q.q` double")
+    target = spark.createDataFrame([(2, "b", 3.0)], "`t.1` int, `w.x` string, `r.r` double")
+    config = mapping([("a.1", "t.1")], **{"v.x": "w.x"})
+    config["mappings"]["q.q"] = {"destinations": ["r.r"], "function": "Aggregation", "transformation": "median"}
+    merged, counts = execute_matching(source, target, config, order_by=["o.o"])
+    assert merged.columns == ["a.1", "v.x", "q.q", "t.1", "w.x", "r.r", "_merge"]
+    assert kinds(merged) == {"both": 1, "left_only": 1} and stats(counts) == (1, 0, 1)
+    lines = _lines(evaluate_mapping(source, target, config, ["t.1"], ["o.o"], "keys_and_values"))
+    assert lines["aggregation_accuracy", "q.q", "accuracy"] == "100.00%"
+
+
 def test_types_of_compared_columns(spark):
     source = spark.createDataFrame([(1, 5)], "k int, v int")
     floats = spark.createDataFrame([("1", 5.0)], "t string, w double")

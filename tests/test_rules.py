@@ -125,6 +125,18 @@ def test_missing_values_in_rules(spark):
     assert sorted(r.i for r in listed) == [1, 2, 3, 4]
 
 
+def test_dotted_names(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (2, None, None), (2, "a", 3.0)], "`i.i` int, `s.s` string, `d.d` double")
+    rules = {"i.i": {"validate_uniqueness": True}, "s.s": {"validate_nulls": True, "validate_regex": "a"},
+             "d.d": {"validate_range": True, "min_value": 3}}
+    assert [r[3] for r in table(execute_validation(df, rules))] == [1, 1, 1, 2]
+    assert validation_details(df, rules).count() == 5
+    assert profile_table(df, ["i.i"]).where("section = 'types'").count() == 3
+    assert digest.dataset_fingerprint(df).first().n_rows == 3
+    assert profiling.seeded_sample(df, ["i.i"], 2).count() == 2
+    assert profiling.topk_values(df, "i.i", 1).first().value == 2
+
+
 def test_counts_scan_once_for_all_row_rules(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     rules = {c: {"validate_nulls": True, "validate_regex": "1"} for c in df.columns}
