@@ -12,7 +12,7 @@ from ..config import AGGREGATION, CONVERSION, ColumnMapping
 from ..functions import field, fields, is_close, percentage, percentage_text, stringify, text_equal_ci
 from .aggregates import drop_incomplete_keys
 from .keys import cast_keys
-from .matching import Matcher, first_per_key, rows_with_keys
+from .matching import Matcher, first_per_key
 
 KEYS, KEYS_AND_VALUES = "keys", "keys_and_values"
 
@@ -49,9 +49,8 @@ def _paired(target: DataFrame, matcher: Matcher, columns: Sequence[str],
     """One row per mapped source row with a partner key: its values and those of the first
     target row with that key."""
     plan = matcher.plan
-    mapped = matcher.mapped_source
-    if match_on == KEYS_AND_VALUES:
-        mapped = rows_with_keys(mapped, plan.source_keys, matcher.matched_keys())
+    strict = match_on == KEYS_AND_VALUES
+    mapped = matcher.source_with_partner() if strict else matcher.mapped_source
     keyed = cast_keys(target, plan.target_keys)
     partners = first_per_key(keyed, plan.target_keys, list(dict.fromkeys(destinations)), target_order)
     left = mapped.select(

@@ -196,8 +196,7 @@ class Matcher:
 
     def right_only(self) -> DataFrame:
         """Target rows without a partner."""
-        right, source = self.sides.target.keyed(), self.sides.source
-        seen = source.keyed() if self.sides.source_is_unique else source.distinct()
+        right, seen = self.sides.target.keyed(), self._seen_source()
         rows = right.join(seen, self._same(right, seen), "left_anti")
         return self._shape(rows, RIGHT_ONLY, right=right)
 
@@ -242,11 +241,26 @@ class Matcher:
             total(F.when(F.col("_t") == 0, F.col("_s"))).alias("missing_target"),
         )
 
+    def _seen_source(self) -> DataFrame:
+        """Source combinations without repetition."""
+        source = self.sides.source
+        return source.keyed() if self.sides.source_is_unique else source.distinct()
+
     def matched_keys(self) -> DataFrame:
         """Distinct keys, as text, among the matched rows."""
-        left, right = self.sides.source.distinct(), self.sides.target.distinct()
+        left, right = self._seen_source(), self.sides.target.distinct()
+        both = left.join(right, self._same(left, right), "left_semi")
+        keys = both.select(*self.sides.helpers[: len(self.plan.source_keys)])
+        return keys if self.sides.source_is_unique else keys.distinct()
+
+    def source_with_partner(self) -> DataFrame:
+        """Mapped source rows whose key occurs among the matched rows."""
+        source = self.sides.source
+        if not self.sides.source_is_unique:
+            return rows_with_keys(source.rows, self.plan.source_keys, self.matched_keys())
+        left, right = source.keyed(), self.sides.target.distinct()
         both = left.join(right, self._same(left, right), "left_semi")
-        return both.select(*self.sides.helpers[: len(self.plan.source_keys)]).distinct()
+        return both.select(*fields(source.columns))
 
 
 def rows_with_keys(df: DataFrame, keys: Sequence[str], wanted: DataFrame) -> DataFrame:

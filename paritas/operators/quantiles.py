@@ -2,10 +2,10 @@
 
 Spark's ``percentile`` and ``median`` keep all distinct values of a group in one buffer, which a
 key with a third of all rows would overflow. Here the values are counted first and the wanted
-ranks are then located in two rounds of bucket counts: a logarithmic grid over all doubles, then
-an even grid inside the buckets that hold a wanted rank. Either grid has a few million cells at
-most and the last bucket holds a few million distinct doubles at most, so every window below is
-bounded whatever the size of the group.
+ranks are then located in two rounds of bucket counts: a logarithmic grid over all doubles, which
+has some seventy thousand cells, then an even grid of sixteen million cells inside the cells that
+hold a wanted rank. A cell of the second grid spans some sixteen million doubles at most. Every
+window below is thus bounded whatever the size of the group, and streams over sorted rows.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from pyspark.sql import types as T
 
 from ..functions import fields, fold_nan, to_numeric, typed
 
-_CELLS_PER_OCTAVE = 256
-_OFFSET = 300_000  # beyond the lowest logarithm of a double, 1074 octaves below one
-_INFINITY_CELL = 1_000_000
-_FINE_CELLS = 1 << 22
+_CELLS_PER_OCTAVE = 16
+_OFFSET = 20_000  # beyond the lowest logarithm of a double, 1074 octaves below one
+_INFINITY_CELL = 100_000
+_FINE_CELLS = 1 << 24
 
 
 def _coarse(v: Column) -> Column:
@@ -48,9 +48,11 @@ def _holding(cells: DataFrame, group: list[str], order: str, wanted: Column) ->
     )
     placed = cells.withColumn("_upto", upto).withColumn("_wanted", wanted)
     before = F.col("_upto") - F.col("_count")
-    inside = F.filter("_wanted", lambda t: (t.rank >= before) & (t.rank < F.col("_upto")))
-    relative = F.transform(inside, lambda t: t.withField("rank", t.rank - before))
-    return placed.withColumn("_wanted", relative).where(F.size("_wanted") > 0)
+    def inside(t: Column) -> Column:
+        return (t.rank >= before) & (t.rank < F.col("_upto"))
+
+    relative = F.transform(F.filter("_wanted", inside), lambda t: t.withField("rank", t.rank - before))
+    return placed.where(F.exists("_wanted", inside)).withColumn("_wanted", relative)
 
 
 def exact_quantiles(
