@@ -10,7 +10,7 @@ window below is thus bounded whatever the size of the group, and streams over so
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,19 +40,33 @@ def _fine(v: Column, low: Column, high: Column) -> Column:
     return F.coalesce(F.when(high > low, F.floor(share * _FINE_CELLS).cast("int")), F.lit(0))
 
 
-def _holding(cells: DataFrame, group: list[str], order: str, wanted: Column) -> DataFrame:
-    """Rows of ``cells`` that hold a wanted rank, with the ranks made relative to the row."""
+def _holding(
+    cells: DataFrame, group: list[Column], order: str, wanted: Column, keep: list[Column]
+) -> DataFrame:
+    """Cells that hold a wanted rank: ``keep`` and the ranks made relative to the cell."""
     upto = F.sum("_count").over(
-        Window.partitionBy(*(fields(group) or [F.lit(0)])).orderBy(order)
+        Window.partitionBy(*(group or [F.lit(0)])).orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = cells.withColumn("_upto", upto).withColumn("_wanted", wanted)
     before = F.col("_upto") - F.col("_count")
+
     def inside(t: Column) -> Column:
         return (t.rank >= before) & (t.rank < F.col("_upto"))
 
-    relative = F.transform(F.filter("_wanted", inside), lambda t: t.withField("rank", t.rank - before))
-    return placed.where(F.exists("_wanted", inside)).withColumn("_wanted", relative)
+    relative = F.transform(F.filter(wanted, inside), lambda t: t.withField("rank", t.rank - before))
+    placed = cells.select("*", upto.alias("_upto")).where(F.exists(wanted, inside))
+    return placed.select(*keep, relative.alias("_wanted"))
+
+
+def _ranks(quantiles: Iterable[float]) -> Column:
+    """Lower and upper rank of every quantile among ``_n`` values, and the share between them."""
+    slots = []
+    for place, q in enumerate(quantiles):
+        position = (F.col("_n") - 1) * q
+        for side, rank in enumerate((F.floor(position), F.ceil(position))):
+            slots.append(F.struct(F.lit(2 * place + side).alias("slot"), rank.alias("rank"),
+                                  (position - F.floor(position)).alias("share")))
+    return F.array(*slots)
 
 
 def exact_quantiles(
@@ -62,50 +76,35 @@ def exact_quantiles(
 
     Keys must not be NULL. Missing values do not count; a key without values gets no row.
     """
-    keys, names = list(keys), fields(keys)
-    v = to_numeric(*typed(df, value))
+    names = fields(keys)
+    coarse, fine = F.col("_coarse"), F.col("_fine")
+    v = F.col("_v")
     counted = (
-        df.select(*names, v.alias("_v")).where(F.col("_v").isNotNull())
+        df.select(*names, to_numeric(*typed(df, value)).alias("_v")).where(v.isNotNull())
         .groupBy(*names, "_v").agg(F.count(F.lit(1)).alias("_count"))
-        .withColumn("_coarse", _coarse(F.col("_v")))
+        .select("*", _coarse(v).alias("_coarse"))
     )
     everything = F.sum("_count").over(Window.partitionBy(*(names or [F.lit(0)])))
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(2 * place + side).alias("slot"),
-                (F.floor if side == 0 else F.ceil)((F.col("_n") - 1) * q).alias("rank"),
-                ((F.col("_n") - 1) * q - F.floor((F.col("_n") - 1) * q)).alias("share"),
-            )
-            for place, q in enumerate(quantiles.values())
-            for side in (0, 1)
-        ]
-    )
-    coarse = counted.groupBy(*names, "_coarse").agg(
+    coarse_cells = counted.groupBy(*names, coarse).agg(
         F.sum("_count").alias("_count"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
-    ).withColumn("_n", everything)
-    in_coarse = _holding(coarse, keys, "_coarse", wanted).select(
-        *names, "_coarse", "_low", "_high", "_wanted"
-    )
-    near = counted.join(in_coarse, [*keys, "_coarse"]).withColumn(
-        "_fine", _fine(F.col("_v"), F.col("_low"), F.col("_high"))
+    ).select("*", everything.alias("_n"))
+    in_coarse = _holding(coarse_cells, names, "_coarse", _ranks(quantiles.values()),
+                         [*names, coarse, F.col("_low"), F.col("_high")])
+    near = counted.join(in_coarse, [*keys, "_coarse"]).select(
+        *names, coarse, v, "_count", "_wanted", _fine(v, F.col("_low"), F.col("_high")).alias("_fine")
     )
-    cell = [*keys, "_coarse", "_fine"]
-    fine = near.groupBy(*fields(cell)).agg(
+    fine_cells = near.groupBy(*names, coarse, fine).agg(
         F.sum("_count").alias("_count"), F.any_value("_wanted").alias("_ranks")
     )
-    in_fine = _holding(fine, cell[:-1], "_fine", F.col("_ranks")).select(
-        *fields(cell), F.col("_wanted").alias("_ranks")
-    )
-    values = near.drop("_wanted").join(in_fine, cell)
-    found = _holding(values, cell, "_v", F.col("_ranks")).select(
-        *names, "_v", F.explode("_wanted").alias("_t")
-    )
+    in_fine = _holding(fine_cells, [*names, coarse], "_fine", F.col("_ranks"), [*names, coarse, fine])
+    values = near.drop("_wanted").join(in_fine, [*keys, "_coarse", "_fine"])
+    found = _holding(values, [*names, coarse, fine], "_v", F.col("_wanted"), [*names, v])
+    slots = found.select(*names, v, F.explode("_wanted").alias("_t"))
     picks = []
     for place, name in enumerate(quantiles):
-        low = F.max(F.when(F.col("_t.slot") == 2 * place, F.col("_v")))
-        high = F.max(F.when(F.col("_t.slot") == 2 * place + 1, F.col("_v")))
+        low = F.max(F.when(F.col("_t.slot") == 2 * place, v))
+        high = F.max(F.when(F.col("_t.slot") == 2 * place + 1, v))
         share = F.max(F.when(F.col("_t.slot") == 2 * place, F.col("_t.share")))
         between = F.when(low == high, low).otherwise(low + (high - low) * share)
         picks.append(fold_nan(between, T.DoubleType()).alias(name))
-    return found.groupBy(*names).agg(*picks)
+    return slots.groupBy(*names).agg(*picks)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -49,7 +50,7 @@ def header_of(spark: SparkSession, path: str, delimiter: str) -> list[str]:
 
 def _field_count(line: Column, delimiter: str) -> Column:
     """Fields in a raw line; delimiters inside quotes do not count."""
-    mark = "\\" + delimiter
+    mark = re.escape(delimiter)
     unquoted = F.regexp_replace(line, rf'(?<=^|[{mark}"])"[^"]*"', "")
     without = F.replace(unquoted, F.lit(delimiter), F.lit(""))
     return F.length(unquoted) - F.length(without) + 1
