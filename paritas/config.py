@@ -118,7 +118,10 @@ def _rules(column: str, entry: Mapping) -> list[Rule]:
     if entry.get("validate_uniqueness"):
         found.append(Rule(column, UNIQUE_RULE))
     if "validate_list_of_values" in entry:
-        found.append(Rule(column, ALLOWED_RULE, allowed=tuple(entry["validate_list_of_values"])))
+        allowed = entry["validate_list_of_values"]
+        if not isinstance(allowed, (list, tuple, set, frozenset)):
+            raise ConfigError(f"the allowed values of {column!r} must be a list")
+        found.append(Rule(column, ALLOWED_RULE, allowed=tuple(allowed)))
     if "validate_regex" in entry:
         found.append(Rule(column, REGEX_RULE, pattern=entry["validate_regex"]))
     if entry.get("validate_range"):
