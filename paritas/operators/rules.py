@@ -26,7 +26,7 @@ from ..functions import (
     typed,
 )
 
-# The headers of the report, for those who want them instead of the column names used here.
+# The headers of a printed result, in place of the column names used here.
 REPORT_HEADERS = {
     "column_name": "Column Name",
     "rule": "Rule",

@@ -112,3 +112,36 @@ def test_rules(spark, seed):
         assert listed[name, "Unique values"] == frame.duplicated(subset=[name], keep=False).sum()
         assert listed[name, "Values out of range"] == outside.sum()
         assert listed[name, "Null values"] == col.isna().sum()
+
+
+POOLS = {
+    "text": ["a", "", '""', '"a,b"', '"x""y"', "1", " 2 ", "NA", 'ab"c', "n/a", "é", "-"],
+    "whole": ["1", "007", "-3", "", "NA", "2.0", "1e2", "+5"],
+    "number": ["1.5", ".5", "2", "", "1e-3", "-inf", "null"],
+    "flag": ["True", "FALSE", "", "true"],
+    "mixed": ["1", "True", "x", ""],
+    "none": ["", "NA", "NaN"],
+}
+KINDS = {"Int64": "bigint", "Float64": "double", "boolean": "boolean", "string": "string"}
+
+
+@pytest.mark.parametrize("seed", SEEDS)
+def test_reading_text_files(spark, tmp_path, seed):
+    from paritas import sources
+
+    rng = random.Random(seed)
+    names = list(POOLS)
+    lines = [",".join(names), ",".join("1" for _ in names)]
+    lines[1] = "a,1,1.5,True,x,"
+    for _ in range(200):
+        width = rng.choice([2, 3, 5, 6, 6, 6, 6, 6, 6, 7, 8])
+        fields = [rng.choice(POOLS[name]) for name in names][:width] + ["z"] * (width - 6)
+        if width > 6 and rng.random() < 0.5:
+            fields[6] = ""
+        lines.append(",".join(fields) if rng.random() > 0.03 else rng.choice(["", "   "]))
+    path = tmp_path / "table.csv"
+    path.write_text("\n".join(lines) + "\n")
+    expected = pd.read_csv(path, sep=",", on_bad_lines="skip", low_memory=False).convert_dtypes()
+    df = sources.read_csv(spark, str(path))
+    assert dict(df.dtypes) == {c: KINDS[str(t)] for c, t in expected.dtypes.items()}
+    assert bag(df.collect()) == bag(expected.itertuples(index=False))

@@ -194,19 +194,19 @@ def test_first_per_key_keeps_missing_values(spark):
 
 
 @pytest.fixture
-def people(spark):
+def shops(spark):
     source = spark.createDataFrame(
-        [(1, 10.0, "São Paulo"), (1, 5.0, "São Paulo"), (2, 7.0, "Rio de Janeiro"), (3, 1.0, "Recife"),
-         (4, 2.0, "Minas Gerais")], "ID int, Salario double, Cidade string")
+        [(1, 10.0, "north"), (1, 5.0, "north"), (2, 7.0, "south"), (3, 1.0, "harbour"), (4, 2.0, "west")],
+        "shop int, sales double, district string")
     target = spark.createDataFrame(
-        [("1", 15.0, "SP"), ("2", 7.0, " rj "), ("3", 2.0, "Recife"), ("9", 0.0, "SP")],
-        "ID_Destino string, Salario_Destino double, Cidade_Destino string")
+        [("1", 15.0, "N"), ("2", 7.0, " s "), ("3", 2.0, "harbour"), ("9", 0.0, "N")],
+        "shop_id string, turnover double, area string")
     config = {
-        "key_source": ["ID"], "key_target": ["ID_Destino"],
+        "key_source": ["shop"], "key_target": ["shop_id"],
         "mappings": {
-            "Salario": {"destinations": ["Salario_Destino"], "function": "Aggregation", "transformation": "sum"},
-            "Cidade": {"destinations": ["Cidade_Destino"], "function": "Conversion mapping",
-                       "transformation": '{"São Paulo":"SP",\n"Rio de Janeiro":"RJ",\n"Minas Gerais":"MG"\n}'},
+            "sales": {"destinations": ["turnover"], "function": "Aggregation", "transformation": "sum"},
+            "district": {"destinations": ["area"], "function": "Conversion mapping",
+                         "transformation": '{"north": "N", "south": "S", "west": "W"}'},
         },
     }
     return source, target, config
@@ -216,23 +216,23 @@ def _lines(df):
     return {(r.section, r.item, r.metric): r.value for r in df.collect()}
 
 
-def test_evaluation(people):
-    source, target, config = people
-    lines = _lines(evaluate_mapping(source, target, config, ["ID_Destino"], order_by=["Salario"]))
-    assert lines["mapped_columns", "Salario", "destination"] == "Salario_Destino"
+def test_evaluation(shops):
+    source, target, config = shops
+    lines = _lines(evaluate_mapping(source, target, config, ["shop_id"], order_by=["sales"]))
+    assert lines["mapped_columns", "sales", "destination"] == "turnover"
     assert lines["key_matches", "keys", "total_source_keys"] == "4"
     assert lines["key_matches", "keys", "total_target_keys"] == "4"
     assert lines["key_matches", "keys", "matched_keys"] == "1"
     assert lines["key_matches", "keys", "match_rate"] == "25.00%"
-    assert lines["aggregation_accuracy", "Salario", "accuracy"] == "66.67%"
-    assert lines["conversion_accuracy", "Cidade", "accuracy"] == "100.00%"
-    strict = _lines(evaluate_mapping(source, target, config, ["ID_Destino"], ["Salario"], "keys_and_values"))
-    assert strict["conversion_accuracy", "Cidade", "total"] == "1"
-    assert strict["conversion_accuracy", "Cidade", "accuracy"] == "100.00%"
+    assert lines["aggregation_accuracy", "sales", "accuracy"] == "66.67%"
+    assert lines["conversion_accuracy", "district", "accuracy"] == "100.00%"
+    strict = _lines(evaluate_mapping(source, target, config, ["shop_id"], ["sales"], "keys_and_values"))
+    assert strict["conversion_accuracy", "district", "total"] == "1"
+    assert strict["conversion_accuracy", "district", "accuracy"] == "100.00%"
 
 
-def test_evaluation_of_nothing(people):
-    source, target, config = people
-    lines = _lines(evaluate_mapping(source.limit(0), target, config, ["ID_Destino"], order_by=["Salario"]))
+def test_evaluation_of_nothing(shops):
+    source, target, config = shops
+    lines = _lines(evaluate_mapping(source.limit(0), target, config, ["shop_id"], order_by=["sales"]))
     assert lines["key_matches", "keys", "match_rate"] == "0.00%"
-    assert lines["aggregation_accuracy", "Salario", "accuracy"] == "0%"
+    assert lines["aggregation_accuracy", "sales", "accuracy"] == "0%"

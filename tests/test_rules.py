@@ -20,18 +20,18 @@ from paritas.plans import (
 @pytest.fixture
 def frame(spark):
     return spark.createDataFrame(
-        [(1, "A", 1.0, 1, "123", "X"), (2, "B", None, 50, "abc", "Y"), (3, "B", 3.0, 100, "456", "Z"),
-         (4, "C", None, 150, "def", "W"), (5, "C", 5.0, 200, "789", "V")],
-        "unique_col long, duplicate_col string, null_col double, range_col long, regex_col string, domain_col string")
+        [(11, "p", 0.5, 4, "07", "red"), (12, "q", None, 70, "x7", "blue"), (13, "q", 2.5, 90, "42", "green"),
+         (14, "r", None, 140, "seven", "pink"), (15, "r", 9.0, 400, "9", "grey")],
+        "ident long, letter string, gap double, amount long, code string, colour string")
 
 
 RULES = {
-    "unique_col": {"validate_uniqueness": True},
-    "duplicate_col": {"validate_uniqueness": True},
-    "null_col": {"validate_nulls": True},
-    "range_col": {"validate_range": True, "min_value": 0, "max_value": 100},
-    "regex_col": {"validate_regex": r"^\d+$"},
-    "domain_col": {"validate_list_of_values": ["X", "Y", "Z"]},
+    "ident": {"validate_uniqueness": True},
+    "letter": {"validate_uniqueness": True},
+    "gap": {"validate_nulls": True},
+    "amount": {"validate_range": True, "min_value": 0, "max_value": 90},
+    "code": {"validate_regex": r"\d+$"},
+    "colour": {"validate_list_of_values": ["red", "green", "blue"]},
     "absent": {"validate_nulls": True},
 }
 
@@ -43,12 +43,12 @@ def table(df):
 
 def test_counts(frame):
     assert table(execute_validation(frame, RULES)) == [
-        ("unique_col", "Unique values", 5, 0, "100.00%"),
-        ("duplicate_col", "Unique values", 3, 2, "60.00%"),
-        ("null_col", "Null values", 3, 2, "60.00%"),
-        ("range_col", "Values out of range", 3, 2, "60.00%"),
-        ("regex_col", "Values not matching regex", 3, 2, "60.00%"),
-        ("domain_col", "Values outside allowed list", 3, 2, "60.00%"),
+        ("ident", "Unique values", 5, 0, "100.00%"),
+        ("letter", "Unique values", 3, 2, "60.00%"),
+        ("gap", "Null values", 3, 2, "60.00%"),
+        ("amount", "Values out of range", 3, 2, "60.00%"),
+        ("code", "Values not matching regex", 3, 2, "60.00%"),
+        ("colour", "Values outside allowed list", 3, 2, "60.00%"),
     ]
     assert skipped_columns(frame, RULES) == ["absent"]
     named = execute_validation(frame, RULES, report_headers=True).columns
@@ -59,18 +59,18 @@ def test_details(frame):
     rows = validation_details(frame, RULES).collect()
     found = {}
     for r in rows:
-        found.setdefault((r.column_name, r.rule), []).append(r.unique_col)
+        found.setdefault((r.column_name, r.rule), []).append(r.ident)
     assert {k: sorted(v) for k, v in found.items()} == {
-        ("duplicate_col", "Unique values"): [2, 3, 4, 5],
-        ("null_col", "Null values"): [2, 4],
-        ("range_col", "Values out of range"): [4, 5],
-        ("regex_col", "Values not matching regex"): [2, 4],
-        ("domain_col", "Values outside allowed list"): [4, 5],
+        ("letter", "Unique values"): [12, 13, 14, 15],
+        ("gap", "Null values"): [12, 14],
+        ("amount", "Values out of range"): [14, 15],
+        ("code", "Values not matching regex"): [12, 14],
+        ("colour", "Values outside allowed list"): [14, 15],
     }
 
 
 def test_empty_table(frame):
-    every = {"unique_col": {"validate_nulls": True, "validate_uniqueness": True, "validate_range": True,
+    every = {"ident": {"validate_nulls": True, "validate_uniqueness": True, "validate_range": True,
                             "validate_regex": "x", "validate_list_of_values": [1]}}
     got = {r[1]: r[2:] for r in table(execute_validation(frame.limit(0), every))}
     assert got.pop("Unique values") == (0, 0, "100.00%")
@@ -81,11 +81,11 @@ def test_empty_table(frame):
 
 
 def test_switched_off_rules(frame):
-    off = {"unique_col": {"validate_nulls": False, "validate_uniqueness": False, "validate_range": False,
+    off = {"ident": {"validate_nulls": False, "validate_uniqueness": False, "validate_range": False,
                           "validate_list_of_values": [], "validate_regex": ""}}
     assert table(execute_validation(frame, off)) == [
-        ("unique_col", "Values outside allowed list", 0, 5, "0.00%"),
-        ("unique_col", "Values not matching regex", 5, 0, "100.00%"),
+        ("ident", "Values outside allowed list", 0, 5, "0.00%"),
+        ("ident", "Values not matching regex", 5, 0, "100.00%"),
     ]
 
 
@@ -177,19 +177,19 @@ def test_fingerprint(spark):
 
 
 def test_profile_and_report(spark, frame):
-    lines = profile_table(frame, ["unique_col"]).collect()
+    lines = profile_table(frame, ["ident"]).collect()
     got = {(r.section, r.column_name, r.metric): r.value for r in lines}
-    assert got["types", "range_col", "type"] == "bigint"
-    assert got["nulls", "null_col", "null_count"] == "2"
-    assert got["summary", "range_col", "p50"] == "100.000000"
-    assert got["summary", "duplicate_col", "top"] == "B"
+    assert got["types", "amount", "type"] == "bigint"
+    assert got["nulls", "gap", "null_count"] == "2"
+    assert got["summary", "amount", "p50"] == "90.000000"
+    assert got["summary", "letter", "top"] == "q"
     assert sum(r.section == "preview" for r in lines) == 5
 
-    mapping = {"key_source": ["unique_col"], "key_target": ["id"],
-               "mappings": {"domain_col": {"destinations": ["d"], "function": "Direct mapping"}}}
-    target = frame.where("unique_col > 1").select(F.col("unique_col").alias("id"), F.col("domain_col").alias("d"))
-    rules = {"d": {"validate_list_of_values": ["X", "Y"]}}
-    report = audit_report(frame, target, mapping, rules, "2024-05-06", order_by=["unique_col"])
+    mapping = {"key_source": ["ident"], "key_target": ["id"],
+               "mappings": {"colour": {"destinations": ["d"], "function": "Direct mapping"}}}
+    target = frame.where("ident > 11").select(F.col("ident").alias("id"), F.col("colour").alias("d"))
+    rules = {"d": {"validate_list_of_values": ["red", "blue"]}}
+    report = audit_report(frame, target, mapping, rules, "2024-05-06", order_by=["ident"])
     got = {(r.section, r.item, r.metric): r.value for r in report.collect()}
     assert got["matching", "records", "total_match"] == "4"
     assert got["matching", "records", "missing_target"] == "1"
