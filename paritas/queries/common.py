@@ -43,7 +43,8 @@ def order_target(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(key.alias("order_id"),
                 (F.col("total") + F.when(key % 10 == 0, 1.0).otherwise(0.0)).alias("quantity"))
     )
-    bare = orders.join(lineitem, orders.o_orderkey == lineitem.l_orderkey, "left_anti").select(
+    seen = lineitem.select("l_orderkey").distinct()
+    bare = orders.join(seen, orders.o_orderkey == seen.l_orderkey, "left_anti").select(
         F.col("o_orderkey").alias("order_id"), F.lit(None).cast("double").alias("quantity"))
     return known.unionByName(bare)
 

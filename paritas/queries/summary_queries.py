@@ -339,6 +339,7 @@ _AUDIT_MAPPING = {
 
 
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers against a copy that lacks every sixth and relabels every fifth."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     target = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 6 != 0).select(
         F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"),
