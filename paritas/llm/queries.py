@@ -8,8 +8,11 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import DEFAULT_BPE, table, vocabulary_path
+from .fertility import fertility_verdicts
+from .html_density import extract_main_text
 from .orc_ids import encode_to_orc
 from .token_counts import count_tokens
+from .toxicity import toxicity_scores
 
 
 class Query(NamedTuple):
@@ -17,15 +20,30 @@ class Query(NamedTuple):
     sql: str | None = None
 
 
+def op1_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op2_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility_verdicts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
 def op4_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_orc(table(spark, sf_dir, "documents"), vocabulary_path(DEFAULT_BPE))
 
 
+def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
 QUERIES = {
+    "op1_html_density": Query(op1_html_density),
+    "op2_token_fertility": Query(op2_token_fertility),
     "op4_orc_token_ids": Query(op4_orc_token_ids),
+    "op6_toxic_segments": Query(op6_toxic_segments),
     "op7_token_counts": Query(op7_token_counts),
 }
