@@ -87,6 +87,7 @@ class WordBpe:
     _PIECES = regex.compile(
         r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\p{L}\p{N}]+")
     _SUFFIX = "</w>"
+    _MARKS = ".,;:!?"
     #: Where ``str.split`` sees white space and the vocabulary's pattern does not.
     _CONTROLS = re.compile(r"[\x1c-\x1f]")
 
@@ -103,6 +104,9 @@ class WordBpe:
         self._merges = _uncached(Tokenizer(self.library.model))
         self._merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self._limit = cache_words
+        self._marks = {m: np.array(e.ids, dtype=self.dtype).tobytes() for m, e in
+                       zip(self._MARKS, self.library.encode_batch(list(self._MARKS),
+                                                                  add_special_tokens=False))}
         self._latin: dict[str, bytes] = {}
         self._other: dict[str, bytes] = {}
 
@@ -129,22 +133,42 @@ class WordBpe:
                 for w, p in zip(words, plain)]
 
     def _learn_latin(self, new: list[str]) -> None:
-        if not new:
+        """Plain words are one pre-token; a mark behind a plain word is another one."""
+        known = self._latin
+        plain, marked, others = set(), [], []
+        for word in new:
+            if word.isalpha():
+                plain.add(word)
+            elif word[-1] in self._MARKS and word[:-1].isalpha():
+                marked.append(word)
+                if word[:-1] not in known:
+                    plain.add(word[:-1])
+            else:
+                others.append(word)
+        self._merge(list(plain), list(plain), None)
+        if others:
+            pieces = self._PIECES.findall("\n".join(others))
+            is_break = np.fromiter((p == "\n" for p in pieces), dtype=bool, count=len(pieces))
+            self._merge(others, [p for p in pieces if p != "\n"],
+                        np.flatnonzero(is_break) - np.arange(len(others) - 1))
+        for word in marked:
+            known[word] = known[word[:-1]] + self._marks[word[-1]]
+
+    def _merge(self, words: list[str], pieces: list[str], pieces_before: np.ndarray | None) -> None:
+        """Caches the ids of ``words``, whose pre-tokens follow one another in ``pieces``: one each,
+        or as many in front of each word but the first as ``pieces_before`` says."""
+        if not words:
             return
-        pieces = self._PIECES.findall("\n".join(new))
-        is_break = np.fromiter((p == "\n" for p in pieces), dtype=bool, count=len(pieces))
-        pieces_before = np.flatnonzero(is_break) - np.arange(len(new) - 1)
-        pieces = [p for p in pieces if p != "\n"]
         letters = [to_byte_letters(" ".join(pieces[i:i + 200]), keep=" ")
                    for i in range(0, len(pieces), 200)]
         found = self._merges.encode_batch_fast(letters, add_special_tokens=False)
         ids = np.concatenate([np.array(e.ids, dtype=self.dtype) for e in found]
                              or [np.zeros(0, dtype=self.dtype)])
-        ends = np.concatenate([[0], np.flatnonzero(self._ends[ids]) + 1])
-        cuts = np.concatenate([[0], ends[pieces_before], [len(ids)]]) * self.dtype.itemsize
-        data = ids.tobytes()
-        cuts = cuts.tolist()
-        self._latin.update((w, data[a:b]) for w, a, b in zip(new, cuts, cuts[1:]))
+        cuts = np.concatenate([[0], np.flatnonzero(self._ends[ids]) + 1])
+        if pieces_before is not None:
+            cuts = np.concatenate([[0], cuts[pieces_before], [len(ids)]])
+        data, cuts = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
+        self._latin.update((w, data[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
 
     def _learn_other(self, new: list[str]) -> None:
         if new:

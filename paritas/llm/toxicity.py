@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from functools import lru_cache
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,32 +21,24 @@ from .tokens import CACHE_WORDS, WORD, slices
 #: Weight of the prior: pseudo-counts as a share of a token's own count in all training texts.
 PRIOR = 0.01
 #: A token's score is its log-odds, moved towards zero by so many standard deviations.
-CAUTION = 1.645
+CAUTION = 1.0
 #: What a token without evidence costs a segment.
-DRIFT = 0.25
+DRIFT = 0.08
 #: Most tokens of a model; the strongest stay. Bounds what is sent to the executors.
 MAX_TOKENS = 100_000
 #: Lengths of the word beginnings that count as tokens beside the word itself.
-BEGINNINGS = (5, 4)
+BEGINNINGS = (8, 7, 6, 5, 4, 3)
 #: Expected number of chance segments in a text below which a passage is significant.
 SIGNIFICANT = 0.05
 #: Grid of the summed evidence for the calibration, and where it ends.
-EVIDENCE_STEP, EVIDENCE_MOST = 0.25, 100.0
+EVIDENCE_STEP, EVIDENCE_LEAST, EVIDENCE_MOST = 0.25, -10.0, 100.0
 
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…¡¿"
 
 
-class Model(NamedTuple):
-    scores: dict[str, tuple[float, float]]  # token -> score, certainty
-    decay: float = 1.0  # of the extreme-value law (lambda)
-    intercept: float = -4.0
-    slope: float = 1.0
-
-
-def word_tokens(word: str) -> list[str]:
-    """The tokens of one lower-cased word, most specific first."""
-    core = word.strip(_EDGES)
-    return [core] + [f"{core[:n]}*" for n in BEGINNINGS if len(core) >= n] if core else []
+def core_tokens(core: str) -> list[str]:
+    """The tokens of one lower-cased word without its marks, most specific first."""
+    return [core] + [f"{core[:n]}*" for n in BEGINNINGS if len(core) >= n]
 
 
 def held_out(doc_id="doc_id"):
@@ -68,12 +59,12 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(ids, "doc_id")
 
 
-_COUNTS = {"token": pa.string(), "toxic_docs": pa.int64(), "clean_docs": pa.int64()}
+_COUNTS = {"token": pa.string(), "toxic_count": pa.int64(), "clean_count": pa.int64()}
 
 
 def token_counts(training: DataFrame) -> DataFrame:
-    """Per token the number of toxic and of clean training texts with it. A token counts once in a
-    text, so that no single text can make it toxic."""
+    """Per token how often it comes in toxic and in clean training texts. A text counts each of its
+    different words once, so that no single text can make a word toxic; the token "" counts words."""
 
     def run(rows: pa.RecordBatch):
         found = (Counter(), Counter())
@@ -81,31 +72,34 @@ def token_counts(training: DataFrame) -> DataFrame:
         at = 0
         for texts in slices(rows.column("text").to_pylist()):
             for text in texts:
-                words = set(WORD.findall(text.lower()))
-                found[labels[at]].update({t for w in words for t in word_tokens(w)})
+                cores = {w.strip(_EDGES) for w in set(WORD.findall(text.lower()))} - {""}
+                counter = found[labels[at]]
+                for core in cores:
+                    counter.update(core_tokens(core))
+                counter[""] += len(cores)
                 at += 1
         clean, toxic = found
         tokens = list(toxic.keys() | clean.keys())
-        yield batch(_COUNTS, token=tokens, toxic_docs=[toxic[t] for t in tokens],
-                    clean_docs=[clean[t] for t in tokens])
+        yield batch(_COUNTS, token=tokens, toxic_count=[toxic[t] for t in tokens],
+                    clean_count=[clean[t] for t in tokens])
 
     partial = map_batches(training.select("text", F.least("toxic", F.lit(1)).alias("toxic")), run,
-                          "token string, toxic_docs long, clean_docs long")
-    return partial.groupBy("token").agg(F.sum("toxic_docs").alias("toxic_docs"),
-                                        F.sum("clean_docs").alias("clean_docs"))
+                          "token string, toxic_count long, clean_count long")
+    return partial.groupBy("token").agg(F.sum("toxic_count").alias("toxic_count"),
+                                        F.sum("clean_count").alias("clean_count"))
 
 
-def log_odds(counts: DataFrame, toxic_texts: int, clean_texts: int) -> DataFrame:
+def log_odds(counts: DataFrame, toxic_words: int, clean_words: int) -> DataFrame:
     """token, score, certainty: log-odds of toxic against clean texts under a Dirichlet prior in
     proportion to the token's frequency in both, moved towards zero by its standard deviation."""
-    y1, y0 = F.col("toxic_docs"), F.col("clean_docs")
-    share = toxic_texts / max(toxic_texts + clean_texts, 1)
+    y1, y0 = F.col("toxic_count"), F.col("clean_count")
+    share = toxic_words / max(toxic_words + clean_words, 1)
     prior1, prior0 = PRIOR * share * (y1 + y0), PRIOR * (1 - share) * (y1 + y0)
-    n1, n0 = max(toxic_texts, 1) * (1 + PRIOR), max(clean_texts, 1) * (1 + PRIOR)
+    n1, n0 = max(toxic_words, 1) * (1 + PRIOR), max(clean_words, 1) * (1 + PRIOR)
     delta = F.log((y1 + prior1) / n1) - F.log((y0 + prior0) / n0)
     deviation = F.sqrt(1 / (y1 + prior1) + 1 / (y0 + prior0))
     kept = F.greatest(F.abs(delta) - CAUTION * deviation, F.lit(0.0)) * F.signum(delta)
-    return (counts.where(y1 + y0 >= 2)
+    return (counts.where((y1 + y0 >= 2) & (F.col("token") != ""))
             .select("token", kept.alias("score"), (F.abs(delta) / deviation).alias("certainty"))
             .where(F.col("score") != 0))
 
@@ -123,7 +117,7 @@ class Scorer:
             self._words.clear()
         model = self._model
         for word in seen - self._words.keys():
-            found = [model[t] for t in word_tokens(word) if t in model]
+            found = [model[t] for t in core_tokens(word.strip(_EDGES)) if t in model]
             self._words[word] = max(found, key=lambda f: f[1])[0] - DRIFT if found else -DRIFT
         return [np.fromiter(map(self._words.__getitem__, w), dtype=np.float64, count=len(w)) for w in words]
 
@@ -201,7 +195,8 @@ _SEGMENT_SCHEMA = ("doc_id long, n_words long, evidence double, "
 
 def find_passages(docs: DataFrame, model, decay: float) -> DataFrame:
     """Per text its significant passages (word places, score, expected number of such segments in
-    a clean text of its length) and the evidence: the sum of -ln(expected) over them."""
+    a clean text of its length) and the evidence: the sum of -ln(expected) over them, or without any
+    that of the best segment."""
 
     def run(rows: pa.RecordBatch):
         ids, at = rows.column("doc_id"), 0
@@ -210,10 +205,12 @@ def find_passages(docs: DataFrame, model, decay: float) -> DataFrame:
             for scores in _scorer(id(model), model).scores(texts):
                 found = [(b, e, s, min(len(scores) * math.exp(-decay * s), 1e9))
                          for b, e, s in maximal_segments(scores)]
+                best = min((f[3] for f in found), default=math.inf)
                 found = [f for f in found if f[3] < SIGNIFICANT]
                 n_words.append(len(scores))
                 passages.append([dict(zip(("begin", "end", "score", "expected"), f)) for f in found])
-                evidence.append(sum(-math.log(max(f[3], 1e-300)) for f in found))
+                evidence.append(sum(-math.log(max(f[3], 1e-300)) for f in found) if found
+                                else -min(math.log(max(best, 1e-300)), -EVIDENCE_LEAST))
             yield batch(_SEGMENTS, doc_id=ids.slice(at, len(texts)), n_words=n_words, evidence=evidence,
                         passages=passages)
             at += len(texts)
@@ -222,8 +219,12 @@ def find_passages(docs: DataFrame, model, decay: float) -> DataFrame:
                                    F.col("text").cast("string").alias("text")), run, _SEGMENT_SCHEMA)
 
 
+def _bounded(evidence):
+    return F.greatest(F.least(evidence, F.lit(EVIDENCE_MOST)), F.lit(EVIDENCE_LEAST))
+
+
 def _grid(evidence):
-    return F.round(F.least(evidence, F.lit(EVIDENCE_MOST)) / EVIDENCE_STEP).cast("int")
+    return F.round(_bounded(evidence) / EVIDENCE_STEP).cast("int")
 
 
 def logistic_fit(cells: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -249,17 +250,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Learns from the rows of ``labels`` (doc_id, toxic) that are not held out, every one of them, equal
     texts once. Returns one row per input row: doc_id, held_out, score (0 to 1), predicted (score of
     at least 0.5), n_words, evidence and the significant passages. Null and empty texts have no
-    passages and get the score of no evidence; a null doc_id is not held out. Without any labels of
-    one kind all texts get the score of no evidence. To the driver come the model (at most
+    passages and get the score of least evidence; a null doc_id is not held out. Without any labels of
+    one kind no token has a score. To the driver come the model (at most
     ``MAX_TOKENS`` tokens), score and evidence histograms on fixed grids.
     """
     spark = docs.sparkSession
     training = settled(training_rows(docs, labels), "toxicity-training")
-    sizes = training.agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count("*").alias("n")).first()
-    weights = log_odds(token_counts(training), sizes.toxic, sizes.n - sizes.toxic)
-    strongest = weights.orderBy(F.abs("score").desc(), "token").limit(MAX_TOKENS)
-    model = spark.sparkContext.broadcast(
-        {r.token: (r.score, r.certainty) for r in strongest.collect()} if sizes.toxic < sizes.n else {})
+    counts = settled(token_counts(training), "toxicity-tokens")
+    words = counts.where("token = ''").first()
+    scores = {}
+    if words and words.toxic_count and words.clean_count:
+        strongest = (log_odds(counts, words.toxic_count, words.clean_count)
+                     .orderBy(F.abs("score").desc(), "token").limit(MAX_TOKENS))
+        scores = {r.token: (r.score, r.certainty) for r in strongest.collect()}
+    model = spark.sparkContext.broadcast(scores)
     decay = decay_rate(score_histogram(training, model))
     found = settled(find_passages(docs, model, decay), "toxicity-passages")
     cells = (
@@ -267,8 +271,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy(_grid(F.col("evidence")).alias("cell"))
         .agg(F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") > 0).alias("n1")).collect())
     a, b = logistic_fit([(c.cell * EVIDENCE_STEP, c.n0, c.n1) for c in cells])
-    evidence = F.least(F.col("evidence"), F.lit(EVIDENCE_MOST))
-    score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * evidence)))
+    score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * _bounded(F.col("evidence")))))
     return found.select(
         "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), score.alias("score"),
         (score >= 0.5).cast("int").alias("predicted"), "n_words", "evidence", "passages")
