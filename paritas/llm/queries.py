@@ -11,6 +11,8 @@ from .common import DEFAULT_BPE, table, vocabulary_path
 from .fertility import fertility_verdicts
 from .html_density import extract_main_text
 from .orc_ids import encode_to_orc
+from .sentence_spans import remove_repeats
+from .simhash_trie import near_duplicates
 from .token_counts import count_tokens
 from .toxicity import toxicity_scores
 
@@ -32,6 +34,10 @@ def op4_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_orc(table(spark, sf_dir, "documents"), vocabulary_path(DEFAULT_BPE))
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,10 +46,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
+def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_density": Query(op1_html_density),
     "op2_token_fertility": Query(op2_token_fertility),
     "op4_orc_token_ids": Query(op4_orc_token_ids),
+    "op5_sentence_spans": Query(op5_sentence_spans),
     "op6_toxic_segments": Query(op6_toxic_segments),
     "op7_token_counts": Query(op7_token_counts),
+    "op9_simhash_trie": Query(op9_simhash_trie),
 }
