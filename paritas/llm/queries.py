@@ -11,6 +11,7 @@ from .common import DEFAULT_BPE, table, vocabulary_path
 from .fertility import fertility_verdicts
 from .html_density import extract_main_text
 from .orc_ids import encode_to_orc
+from .packing import pack_documents
 from .sentence_spans import remove_repeats
 from .simhash_trie import near_duplicates
 from .token_counts import count_tokens
@@ -30,6 +31,10 @@ def op2_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_verdicts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(DEFAULT_BPE))
+
+
 def op4_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_orc(table(spark, sf_dir, "documents"), vocabulary_path(DEFAULT_BPE))
 
@@ -53,6 +58,7 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_density": Query(op1_html_density),
     "op2_token_fertility": Query(op2_token_fertility),
+    "op3_bm25_packing": Query(op3_bm25_packing),
     "op4_orc_token_ids": Query(op4_orc_token_ids),
     "op5_sentence_spans": Query(op5_sentence_spans),
     "op6_toxic_segments": Query(op6_toxic_segments),

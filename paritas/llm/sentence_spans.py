@@ -71,7 +71,8 @@ def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     firsts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     owner = np.repeat(np.arange(len(texts)), counts)
     weights, inverse = _powers(_MULTIPLIER, n), _powers(_INVERSE, n)
-    sums = np.concatenate([[0], np.cumsum(np.array(hashes, dtype=np.uint64) * weights)]).astype(np.uint64)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(np.array(hashes, dtype=np.uint64) * weights, out=sums[1:])
     words = np.concatenate([[0], np.cumsum(n_words)]).astype(np.int64)
     i = np.arange(n)
     forward = np.maximum(np.searchsorted(words, words[:-1] + RUN_WORDS), i + RUN_SENTENCES)
