@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import DEFAULT_BPE, table, vocabulary_path
 from .fertility import fertility_verdicts
+from .hilbert_search import nearest
 from .html_density import extract_main_text
 from .orc_ids import encode_to_orc
 from .packing import pack_documents
@@ -51,6 +52,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
+def op8_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,5 +68,6 @@ QUERIES = {
     "op5_sentence_spans": Query(op5_sentence_spans),
     "op6_toxic_segments": Query(op6_toxic_segments),
     "op7_token_counts": Query(op7_token_counts),
+    "op8_hilbert_search": Query(op8_hilbert_search),
     "op9_simhash_trie": Query(op9_simhash_trie),
 }
