@@ -100,8 +100,9 @@ def document_frequencies(tokens: DataFrame, dtype: np.dtype) -> dict[int, int]:
 class Shard:
     """An inverted index of some documents and what of them is not packed yet."""
 
-    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float):
+    def __init__(self, ids: list[np.ndarray], names: list, idf: np.ndarray, mean_length: float):
         self.ids = ids
+        self.names = names
         self.idf = idf
         n = len(ids)
         keys = _document_tokens(ids)
@@ -147,9 +148,11 @@ class Shard:
         sequence, filled = 0, 0
         waiting: list[int] = []
         held: list[list[int]] = []
+        inside: set = set()  # ids in the window: a repeated document goes elsewhere if another one fits
         document = self.first_unused()
         while document is not None:
             self.unused[document] = False
+            inside.add(self.names[document])
             start, size = 0, len(self.ids[document])
             while start < size:
                 length = min(size - start, WINDOW - filled)
@@ -159,12 +162,12 @@ class Shard:
                     yield from map(tuple, held)
                     held.clear()
                     sequence, filled = sequence + 1, 0
-                    waiting = []
+                    waiting, inside = [], {self.names[document]}
             while waiting and not self.unused[waiting[-1]]:
                 waiting.pop()
             if not waiting:
                 # a new window's seed is the document whose rest begins it, or the next one in order
-                waiting = self.neighbours(document)[::-1].tolist()
+                waiting = [d for d in self.neighbours(document)[::-1].tolist() if self.names[d] not in inside]
             document = waiting.pop() if waiting else self.first_unused()
         yield from _in_powers(held, sequence, filled)
 
@@ -214,7 +217,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFra
 
         def packed():
             nonlocal sequence
-            shard = Shard(ids, *shared.value)
+            shard = Shard(ids, doc_ids, *shared.value)
             rows = list(shard.pack())
             documents, start, length, number, offset = (np.array(c, dtype=np.int64) for c in zip(*rows))
             crc = [zlib.crc32(ids[d][a:a + n].astype("<u4").tobytes())

@@ -7,15 +7,16 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import DEFAULT_BPE, table, vocabulary_path
+from .common import DEFAULT_BPE, settled, table, vocabulary_path
 from .fertility import fertility_verdicts
 from .hilbert_search import nearest
 from .html_density import extract_main_text
+from .mixing import mix
 from .orc_ids import encode_to_orc
 from .packing import pack_documents
 from .sentence_spans import remove_repeats
 from .simhash_trie import near_duplicates
-from .token_counts import count_tokens
+from .token_counts import count_tokens, with_token_counts
 from .toxicity import toxicity_scores
 
 
@@ -60,6 +61,12 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    counted = with_token_counts(docs, vocabulary_path("byte_bpe_50k.json"), "n_tokens").drop("text")
+    return mix(settled(counted, "mix-tokens"), "n_tokens", max_passes=2.0, target_entropy=0.97)
+
+
 QUERIES = {
     "op1_html_density": Query(op1_html_density),
     "op2_token_fertility": Query(op2_token_fertility),
@@ -70,4 +77,5 @@ QUERIES = {
     "op7_token_counts": Query(op7_token_counts),
     "op8_hilbert_search": Query(op8_hilbert_search),
     "op9_simhash_trie": Query(op9_simhash_trie),
+    "op10_temperature_mixing": Query(op10_temperature_mixing),
 }

@@ -23,6 +23,29 @@ def _counter(path: str, whole_id: int, whole) -> TokenCounter:
     return TokenCounter(path, whole.value)
 
 
+def _count_function(docs: DataFrame, vocabulary: str):
+    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(vocabulary))
+
+    def count(texts: list[str | None]) -> list[int]:
+        counter = _counter(vocabulary, id(whole), whole)
+        return [n for part in slices(texts) for n in counter.count(part)]
+
+    return count
+
+
+def with_token_counts(docs: DataFrame, vocabulary: str, name: str) -> DataFrame:
+    """``docs`` with the number of tokens of ``text`` as a further column ``name``."""
+    count = _count_function(docs, vocabulary)
+    columns = docs.columns
+    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(rows: pa.RecordBatch):
+        counts = pa.array(count(rows.column("text").to_pylist()), pa.int64())
+        yield pa.RecordBatch.from_arrays([*map(rows.column, columns), counts], names=[*columns, name])
+
+    return map_batches(docs, run, f"{schema}, `{name}` long")
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFrame:
     """Number of tokens of every whole text, as the library gives them.
 
@@ -32,14 +55,12 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
     of special tokens inside a text count one, the library's default. The only thing sent to the
     executors is the list of whole tokens, bounded by the vocabulary.
     """
-    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(vocabulary))
+    count = _count_function(docs, vocabulary)
 
     def run(rows: pa.RecordBatch):
-        counter = _counter(vocabulary, id(whole), whole)
         texts = rows.column("text").to_pylist()
-        counts = [n for part in slices(texts) for n in counter.count(part)]
         yield batch(_COUNTS, doc_id=rows.column("doc_id"),
-                    n_bytes=[len((t or "").encode()) for t in texts], n_tokens=counts)
+                    n_bytes=[len((t or "").encode()) for t in texts], n_tokens=count(texts))
 
     counted = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                                       F.col("text").cast("string").alias("text")),

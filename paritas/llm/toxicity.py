@@ -185,11 +185,11 @@ def decay_rate(histogram: dict[float, int]) -> float:
 
 
 _SEGMENTS = {
-    "doc_id": pa.int64(), "n_words": pa.int64(), "evidence": pa.float64(),
+    "doc_id": pa.int64(), "text_hash": pa.int64(), "n_words": pa.int64(), "evidence": pa.float64(),
     "passages": pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64()),
                                     ("expected", pa.float64())])),
 }
-_SEGMENT_SCHEMA = ("doc_id long, n_words long, evidence double, "
+_SEGMENT_SCHEMA = ("doc_id long, text_hash long, n_words long, evidence double, "
                    "passages array<struct<begin:long,end:long,score:double,expected:double>>")
 
 
@@ -199,7 +199,7 @@ def find_passages(docs: DataFrame, model, decay: float) -> DataFrame:
     that of the best segment."""
 
     def run(rows: pa.RecordBatch):
-        ids, at = rows.column("doc_id"), 0
+        at = 0
         for texts in slices(rows.column("text").to_pylist()):
             n_words, passages, evidence = [], [], []
             for scores in _scorer(id(model), model).scores(texts):
@@ -211,11 +211,13 @@ def find_passages(docs: DataFrame, model, decay: float) -> DataFrame:
                 passages.append([dict(zip(("begin", "end", "score", "expected"), f)) for f in found])
                 evidence.append(sum(-math.log(max(f[3], 1e-300)) for f in found) if found
                                 else -min(math.log(max(best, 1e-300)), -EVIDENCE_LEAST))
-            yield batch(_SEGMENTS, doc_id=ids.slice(at, len(texts)), n_words=n_words, evidence=evidence,
-                        passages=passages)
+            part = rows.slice(at, len(texts))
+            yield batch(_SEGMENTS, doc_id=part.column("doc_id"), text_hash=part.column("text_hash"),
+                        n_words=n_words, evidence=evidence, passages=passages)
             at += len(texts)
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                                   F.xxhash64("text").alias("text_hash"),
                                    F.col("text").cast("string").alias("text")), run, _SEGMENT_SCHEMA)
 
 
@@ -249,7 +251,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Learns from the rows of ``labels`` (doc_id, toxic) that are not held out, every one of them, equal
     texts once. Returns one row per input row: doc_id, held_out, score (0 to 1), predicted (score of
-    at least 0.5), n_words, evidence and the significant passages. Null and empty texts have no
+    at least 0.5), n_words, evidence, the significant passages and a hash of the text. Null and empty texts have no
     passages and get the score of least evidence; a null doc_id is not held out. Without any labels of
     one kind no token has a score. To the driver come the model (at most
     ``MAX_TOKENS`` tokens), score and evidence histograms on fixed grids.
@@ -274,4 +276,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * _bounded(F.col("evidence")))))
     return found.select(
         "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), score.alias("score"),
-        (score >= 0.5).cast("int").alias("predicted"), "n_words", "evidence", "passages")
+        (score >= 0.5).cast("int").alias("predicted"), "n_words", "evidence", "passages", "text_hash")
