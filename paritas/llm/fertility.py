@@ -54,7 +54,7 @@ class WordPieces:
         seen = set().union(*words)
         if len(self._ids) + len(seen) > CACHE_WORDS:
             self._ids.clear()
-        new = list(seen - self._ids.keys())
+        new = list(seen.difference(self._ids))
         if new:
             self._ids.update((w, np.array(ids, dtype="<u4").tobytes())
                              for w, ids in zip(new, self.model.encode(new, num_threads=1)))

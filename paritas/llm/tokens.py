@@ -128,7 +128,7 @@ class WordBpe:
             seen = set().union(*(w for w, p in zip(words, plain) if p is chosen))
             if len(cache) + len(seen) > self._limit:
                 cache.clear()
-            learn(list(seen - cache.keys()))
+            learn(list(seen.difference(cache)))
         return [b"".join(map((self._latin if p else self._other).__getitem__, w))
                 for w, p in zip(words, plain)]
 
@@ -213,7 +213,7 @@ class TokenCounter:
         seen = set().union(*parts)
         if len(self._counts) + len(seen) > self._limit + len(self._whole):
             self._counts = dict.fromkeys(self._whole, 1)
-        self._learn(list(seen - self._counts.keys()))
+        self._learn(list(seen.difference(self._counts)))
         get = self._counts.__getitem__
         return [n + sum(map(get, chunks)) for n, chunks in zip(extra, parts)]
 

@@ -116,7 +116,7 @@ class Scorer:
         if len(self._words) + len(seen) > CACHE_WORDS:
             self._words.clear()
         model = self._model
-        for word in seen - self._words.keys():
+        for word in seen.difference(self._words):
             found = [model[t] for t in core_tokens(word.strip(_EDGES)) if t in model]
             self._words[word] = max(found, key=lambda f: f[1])[0] - DRIFT if found else -DRIFT
         return [np.fromiter(map(self._words.__getitem__, w), dtype=np.float64, count=len(w)) for w in words]
