@@ -87,37 +87,36 @@ def roots(prints: DataFrame) -> DataFrame:
 def divided(work: DataFrame) -> DataFrame:
     """``work`` with its large roots divided by further bits until none exceeds the limit.
 
-    A root is split into its children with themselves (side 2) and with the children that differ in
-    few enough bits (sides 0 and 1), so that no task has to hold a large root, and no pair is lost.
+    A root is split into its children with themselves (side 2) and into the pairs of children that
+    differ in few enough bits (sides 0 and 1), so that no task has to hold a large root and no pair is
+    lost. Only pairs of children that exist are formed; a root has at most 256 of either side.
     """
-    masks = [m for m in range(1, 1 << _SPLIT_BITS) if m.bit_count() <= MOST_BITS]
-    done, level = None, 0
-    while level < 64 // _SPLIT_BITS:
+    done = None
+    for level in range(64 // _SPLIT_BITS):
         sizes = work.groupBy("root").agg(F.count("*").alias("_n")).where(F.col("_n") > ROOT_LIMIT)
         sizes = settled(sizes.select("root"), "large-roots")
         if sizes.isEmpty():
             break
         small = work.join(sizes, "root", "left_anti")
-        done = small if done is None else done.union(small)
+        done = settled(small if done is None else done.union(small), "small-roots")
         child = F.shiftrightunsigned("fingerprint", 64 - _SPLIT_BITS * (level + 1)).bitwiseAND(
             F.lit((1 << _SPLIT_BITS) - 1))
-        pairs = F.array(*(F.struct(F.least("_c", F.col("_c").bitwiseXOR(F.lit(m))).alias("a"),
-                                   F.greatest("_c", F.col("_c").bitwiseXOR(F.lit(m))).alias("b"))
-                          for m in [0, *masks]))
-        large = work.join(sizes, "root", "left_semi").withColumn("_c", child)
-        own = large.select(F.xxhash64("root", F.lit(level), "_c", "_c").alias("root"), "side", "fingerprint")
-        cross = (large.select("root", "side", "fingerprint", "_c", F.explode(pairs).alias("_p"))
-                 .where("_p.a <> _p.b")
-                 # of a root with itself a child meets another once; of two roots each side has its own
-                 .select("*", F.explode(F.when(F.col("side") == 2, F.array(
-                     F.when(F.col("_c") == F.col("_p.a"), 0).otherwise(1))).otherwise(F.array("side"))).alias("_s"))
-                 .select(F.when(F.col("side") == 2, F.xxhash64("root", F.lit(level), "_p.a", "_p.b")).otherwise(
-                     F.xxhash64("root", F.lit(level), F.when(F.col("side") == 0, F.col("_c")).otherwise(
-                         F.col("_p.a") + F.col("_p.b") - F.col("_c")), F.when(F.col("side") == 1, F.col("_c"))
-                         .otherwise(F.col("_p.a") + F.col("_p.b") - F.col("_c")))).alias("root"),
-                     F.col("_s").alias("side"), "fingerprint"))
-        work = settled(own.union(cross), "divided-roots")
-        level += 1
+        large = work.join(sizes, "root", "left_semi").withColumn("child", child)
+        children = settled(large.select("root", "side", "child").distinct(), "children")
+        left = children.where("side <> 1").select("root", "side", F.col("child").alias("a"))
+        right = children.where("side <> 0").select("root", F.col("child").alias("b"))
+        pairs = left.join(right, "root").where(
+            (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS) & ((F.col("side") == 0) | (F.col("a") <= F.col("b"))))
+        pairs = pairs.withColumn("below", F.xxhash64("root", F.lit(level), "a", "b"))
+        own = (F.col("side") == 2) & (F.col("a") == F.col("b"))
+        parts = F.when(own, F.array(F.struct(F.col("a").alias("child"), F.lit(2).alias("from"), F.lit(2).alias("to")))).otherwise(
+            F.array(F.struct(F.col("a").alias("child"), F.col("side").alias("from"), F.lit(0).alias("to")),
+                    F.struct(F.col("b").alias("child"), F.when(F.col("side") == 2, 2).otherwise(1).alias("from"),
+                             F.lit(1).alias("to"))))
+        members = settled(pairs.select("root", "below", F.inline(parts)), "pairs-of-children")
+        work = settled(
+            large.join(members.withColumnRenamed("from", "side"), ["root", "side", "child"])
+            .select(F.col("below").alias("root"), F.col("to").alias("side"), "fingerprint"), "divided-roots")
     return work if done is None else done.union(work)
 
 
