@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from .common import batch, map_batches
 from .tokens import slices
 
-#: A run has at least so many sentences and words; from each sentence the shortest such run is taken
-#: in either direction, so that all sentences of a repeated passage are covered up to its ends.
+#: A run has at least so many sentences and words; from each sentence the shortest such run is taken,
+#: and backwards from each sentence that ends none of these, so that a repeated passage is covered up
+#: to its last sentence.
 RUN_SENTENCES, RUN_WORDS = 2, 20
-#: Sentences of more words are cut behind words chosen by their own hash, about every eighth, so that
+#: Sentences of more words are cut behind words chosen by their own hash, about every fourth, so that
 #: passages without full stops fall into the same pieces wherever they stand.
-LONG_SENTENCE, CUT_EVERY = 16, 8
+LONG_SENTENCE, CUT_EVERY = 16, 4
 #: Runs that a task reduces to one candidate per hash at a time.
 BLOCK_RUNS = 1_000_000
 
@@ -81,6 +82,7 @@ def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     # the last start from which the words suffice up to each end
     back = np.minimum(np.searchsorted(words, words[1:] - RUN_WORDS, side="right") - 1, i + 1 - RUN_SENTENCES)
     inside = back >= firsts[owner]
+    inside[end - 1] = False
     spans = np.unique(np.concatenate([begin * (n + 1) + end, back[inside] * (n + 1) + i[inside] + 1]))
     begin, end = spans // (n + 1), spans % (n + 1)
     mixed = (sums[end] - sums[begin]) * inverse[begin]
@@ -90,10 +92,10 @@ def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return mixed.view(np.int64), numbers, begin - firsts[numbers], end - firsts[numbers]
 
 
-_RUNS = {"dealt_by": pa.int64(), "covered": pa.bool_(), "hash": pa.int64(), "doc_id": pa.int64(),
-         "doc_key": pa.int64(), "begin": pa.int32(), "end": pa.int32()}
-_RUN_SCHEMA = ("dealt_by long, covered boolean, hash long, doc_id long, doc_key long, begin int, end int")
-_COVERS = {"doc_key": pa.int64(), "begin": pa.int32(), "end": pa.int32()}
+#: ``place`` is the first sentence times 2^32 and the end; hash is the document's key for covered rows.
+_RUNS = {"hash": pa.int64(), "covered": pa.bool_(), "doc_id": pa.int64(), "doc_key": pa.int32(), "place": pa.int64()}
+_RUN_SCHEMA = "hash long, covered boolean, doc_id long, doc_key int, place long"
+_COVERS = {"doc_id": pa.int64(), "doc_key": pa.int32(), "place": pa.int64()}
 
 
 def _first_of_each(hashes, *order) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +106,7 @@ def _first_of_each(hashes, *order) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """doc_key, begin, end of all runs that stand, in the order of documents and of sentences within
+    """doc_id, doc_key, place of all runs that stand, in the order of documents and of sentences within
     them, behind another run with the same hash.
 
     Each task first keeps one candidate per hash in every block of runs, the others of the block
@@ -116,18 +118,18 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
 
         def reduced():
-            hashes, ids, keys, begin, end = (np.concatenate(x) for x in zip(*held))
-            rank, first = _first_of_each(hashes, ids, keys, begin)
-            hashes, ids, keys, begin, end = (x[rank] for x in (hashes, ids, keys, begin, end))
-            return batch(_RUNS, dealt_by=np.where(first, hashes, keys), covered=~first, hash=hashes,
-                         doc_id=ids, doc_key=keys, begin=begin.astype(np.int32), end=end.astype(np.int32))
+            hashes, ids, keys, place = (np.concatenate(x) for x in zip(*held))
+            rank, first = _first_of_each(hashes, ids, keys, place)
+            hashes, ids, keys, place = (x[rank] for x in (hashes, ids, keys, place))
+            dealt_by = np.where(first, hashes, ids * 31 + keys)  # a repeat needs its document only
+            return batch(_RUNS, hash=dealt_by, covered=~first, doc_id=ids, doc_key=keys, place=place)
 
         for rows in batches:
             ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
             keys, at = rows.column("doc_key").to_numpy(), 0
             for texts in slices(rows.column("text").to_pylist()):
                 hashes, numbers, begin, end = runs(texts)
-                held.append((hashes, ids[at + numbers], keys[at + numbers], begin, end))
+                held.append((hashes, ids[at + numbers], keys[at + numbers], begin << 32 | end))
                 at += len(texts)
                 if sum(len(h[0]) for h in held) >= BLOCK_RUNS:
                     yield reduced()
@@ -149,11 +151,11 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
             chosen = pa.array(covered | again)
             yield pa.RecordBatch.from_arrays([rows.column(c).filter(chosen) for c in _COVERS], names=list(_COVERS))
 
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"),
+    texts = docs.select(F.col("_span_id").alias("doc_id"),
                         F.col("_span_key").alias("doc_key"), F.col("text").cast("string").alias("text"))
-    dealt = (texts.mapInArrow(candidates, _RUN_SCHEMA).repartition("dealt_by")
-             .sortWithinPartitions("covered", "hash", "doc_id", "doc_key", "begin"))
-    return dealt.mapInArrow(repeats, "doc_key long, begin int, end int")
+    dealt = (texts.mapInArrow(candidates, _RUN_SCHEMA).repartition("hash")
+             .sortWithinPartitions("covered", "hash", "doc_id", "doc_key", "place"))
+    return dealt.mapInArrow(repeats, "doc_id long, doc_key int, place long")
 
 
 def without(text: str, covers: list[tuple[int, int]]) -> tuple[str, int]:
@@ -173,15 +175,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     ``docs`` needs doc_id and text and keeps its columns and rows; text changes, n_chars follows it
     where it is there, and n_removed (sentences) is added. Order is by doc_id (null first), then by a
-    hash of the row's id and text, then by place; repeated rows with one id and text count as one
+    hash of the text, then by place; repeated rows with one id and text count as one
     document and come back alike. Texts without repeats, null and empty ones stay as they are; an
     exact copy becomes empty. Runs shorter than ``RUN_WORDS`` words are never removed.
     """
-    kept = docs.withColumn("_span_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    once = kept.select("doc_id", "text", "_span_key")
-    covers = repeated_runs(once).groupBy("doc_key").agg(
-        F.collect_set(F.struct("begin", "end")).alias("_span_covers"))  # no more than a text's sentences
-    joined = kept.join(covers.withColumnRenamed("doc_key", "_span_key"), "_span_key", "left")
+    kept = docs.withColumn("_span_key", F.hash("text")).withColumn(
+        "_span_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    covers = repeated_runs(kept.select("_span_id", "_span_key", "text")).groupBy("doc_id", "doc_key").agg(
+        F.collect_set("place").alias("_span_covers"))  # no more than twice a text's sentences
+    covers = covers.select(F.col("doc_id").alias("_span_id"), F.col("doc_key").alias("_span_key"), "_span_covers")
+    joined = kept.join(covers, ["_span_id", "_span_key"], "left")
     columns = docs.columns
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -190,7 +193,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         removed = [0] * len(texts)
         covers = rows.column("_span_covers")
         for i in np.flatnonzero(covers.is_valid().to_numpy(zero_copy_only=False)).tolist():
-            texts[i], removed[i] = without(texts[i], [(c["begin"], c["end"]) for c in covers[i].as_py()])
+            texts[i], removed[i] = without(texts[i], [(c >> 32, c & 0xFFFFFFFF) for c in covers[i].as_py()])
         arrays = [rows.column(c) if c != "text" else pa.array(texts, pa.string()) for c in columns]
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(removed, pa.int64())], names=[*columns, "n_removed"])
 
