@@ -7,7 +7,6 @@ the entropy of the tokens are compared with bands of texts of the same language
 from __future__ import annotations
 
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, map_batches, settled
-from .tokens import CACHE_WORDS, WORD, slices
+from .tokens import CACHE_WORDS, WORD, resident, slices
 
 SYMBOLS = "#*$%&|<>"
 #: Quantiles between which the middle of a band lies. Junk gathers at the low end of the measures,
@@ -61,9 +60,8 @@ class WordPieces:
         return [np.frombuffer(b"".join(map(self._ids.__getitem__, w)), dtype="<u4") for w in words]
 
 
-@lru_cache(maxsize=2)
 def _pieces(path: str) -> WordPieces:
-    return WordPieces(path)
+    return resident(("pieces", path), lambda: WordPieces(path))
 
 
 def repeated_words(words: list[str]) -> int:

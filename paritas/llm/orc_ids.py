@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import batch, map_batches
-from .tokens import WordBpe, slices
+from .tokens import WordBpe, resident, slices
 
 SCHEMA = "part int, row long, doc_id long, n_tokens long, ids array<int>"
 _WRITE = {"part": pa.int32(), "row": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(),
@@ -21,9 +20,8 @@ _READ = {"part": pa.int32(), "row": pa.int64(), "doc_id": pa.int64(), "n_tokens"
          "ids_crc32": pa.int64()}
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordBpe:
-    return WordBpe(path)
+    return resident(("encoder", path), lambda: WordBpe(path))
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2,

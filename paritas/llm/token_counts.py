@@ -6,28 +6,25 @@ The strings of the vocabulary that encode alone as one token are found once, bef
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, map_batches
-from .tokens import TokenCounter, slices, whole_tokens
+from .tokens import TokenCounter, resident, slices, whole_tokens
 
 _COUNTS = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_tokens": pa.int64()}
 
 
-@lru_cache(maxsize=4)
-def _counter(path: str, whole_id: int, whole) -> TokenCounter:
-    return TokenCounter(path, whole.value)
+def _counter(path: str, whole) -> TokenCounter:
+    return resident(("counter", path, id(whole)), lambda: TokenCounter(path, whole.value))
 
 
 def _count_function(docs: DataFrame, vocabulary: str):
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(vocabulary))
 
     def count(texts: list[str | None]) -> list[int]:
-        counter = _counter(vocabulary, id(whole), whole)
+        counter = _counter(vocabulary, whole)
         return [n for part in slices(texts) for n in counter.count(part)]
 
     return count

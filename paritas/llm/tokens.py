@@ -20,7 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Words `[^\x20\x09-\x0D]+` as all operators here take them.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Entries after which a worker's cache starts anew; bounds memory, not results.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 #: Characters of text that are split into words at a time.
 SLICE_CHARS = 1_000_000
 
@@ -64,6 +64,18 @@ def to_byte_letters(text: str, keep: str = "") -> str:
     return text.encode().decode("latin-1").translate(letters)
 
 
+_resident: dict = {}
+
+
+def resident(key: tuple, make):
+    """``make()``, kept for later tasks of this worker until another object is asked for, so that a
+    worker which serves several operators holds the caches of one of them only."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def load(path: str):
     from tokenizers import Tokenizer
 

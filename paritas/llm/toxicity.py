@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, map_batches, settled
-from .tokens import CACHE_WORDS, WORD, slices
+from .tokens import CACHE_WORDS, WORD, resident, slices
 
 #: Weight of the prior: pseudo-counts as a share of a token's own count in all training texts.
 PRIOR = 0.01
@@ -110,7 +109,8 @@ class Scorer:
         self._words: dict[str, float] = {}
 
     def scores(self, texts: list[str]) -> list[np.ndarray]:
-        """Score of each word of each text: that of its most certain token, less the drift."""
+        """Score of each word of each text: that of its most certain token, less the drift. As in the
+        counts a text is charged for a word once, so that mere repetition is no evidence."""
         words = [WORD.findall(t.lower()) for t in texts]
         seen = set().union(*words)
         if len(self._words) + len(seen) > CACHE_WORDS:
@@ -119,7 +119,16 @@ class Scorer:
         for word in seen.difference(self._words):
             found = [model[t] for t in core_tokens(word.strip(_EDGES)) if t in model]
             self._words[word] = max(found, key=lambda f: f[1])[0] - DRIFT if found else -DRIFT
-        return [np.fromiter(map(self._words.__getitem__, w), dtype=np.float64, count=len(w)) for w in words]
+        return [self._once(w) for w in words]
+
+    def _once(self, words: list[str]) -> np.ndarray:
+        scores = np.fromiter(map(self._words.__getitem__, words), dtype=np.float64, count=len(words))
+        seen = set()
+        for i in np.flatnonzero(scores > 0).tolist():
+            if words[i] in seen:
+                scores[i] = -DRIFT
+            seen.add(words[i])
+        return scores
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -145,9 +154,8 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(b, e, r - l) for b, e, l, r in held]
 
 
-@lru_cache(maxsize=2)
-def _scorer(key: int, model) -> Scorer:
-    return Scorer(model.value)
+def _scorer(model) -> Scorer:
+    return resident(("scorer", id(model)), lambda: Scorer(model.value))
 
 
 def score_histogram(training: DataFrame, model) -> dict[float, int]:
@@ -157,7 +165,7 @@ def score_histogram(training: DataFrame, model) -> dict[float, int]:
     def run(rows: pa.RecordBatch):
         found: Counter = Counter()
         for texts in slices(rows.column("text").to_pylist()):
-            for scores in _scorer(id(model), model).scores(texts):
+            for scores in _scorer(model).scores(texts):
                 found.update(dict(zip(*(x.tolist() for x in np.unique(
                     np.rint(scores * 100).astype(np.int32), return_counts=True)))))
         yield batch(kinds, grid=list(found), n=list(found.values()))
@@ -202,7 +210,7 @@ def find_passages(docs: DataFrame, model, decay: float) -> DataFrame:
         at = 0
         for texts in slices(rows.column("text").to_pylist()):
             n_words, passages, evidence = [], [], []
-            for scores in _scorer(id(model), model).scores(texts):
+            for scores in _scorer(model).scores(texts):
                 found = [(b, e, s, min(len(scores) * math.exp(-decay * s), 1e9))
                          for b, e, s in maximal_segments(scores)]
                 best = min((f[3] for f in found), default=math.inf)
@@ -230,20 +238,29 @@ def _grid(evidence):
 
 
 def logistic_fit(cells: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """Intercept and slope of label 1 against x from (x, n of label 0, n of label 1), by Newton steps
-    with a weak penalty on the slope; one row of either label is added at the ends."""
+    """Intercept and slope of label 1 against x from (x, n of label 0, n of label 1), by damped Newton
+    steps with a weak penalty; one row of either label is added at the ends."""
     x = np.array([c[0] for c in cells] + [0.0, 20.0])
     n0 = np.array([c[1] for c in cells] + [1.0, 0.0])
     n1 = np.array([c[2] for c in cells] + [0.0, 1.0])
-    a, b = -1.0, 0.3
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
-        w = (n0 + n1) * p * (1 - p) + 1e-9
-        g = np.array([(n1 - (n0 + n1) * p).sum() - 0.01 * a, ((n1 - (n0 + n1) * p) * x).sum() - 0.01 * b])
+    def loss(t: np.ndarray) -> float:
+        z = t[0] + t[1] * x
+        return float((n1 * np.logaddexp(0, -z) + n0 * np.logaddexp(0, z)).sum() + 0.005 * (t ** 2).sum())
+
+    t = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(t[0] + t[1] * x, -500, 500)))
+        w = (n0 + n1) * p * (1 - p)
+        miss = n1 - (n0 + n1) * p
+        g = np.array([miss.sum(), (miss * x).sum()]) - 0.01 * t
         h = np.array([[w.sum() + 0.01, (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 0.01]])
-        step = np.clip(np.linalg.solve(h, g), -1, 1)
-        a, b = a + step[0], b + step[1]
-    return float(a), max(float(b), 1e-3)
+        step = np.linalg.solve(h, g)
+        while loss(t + step) > loss(t) and np.abs(step).max() > 1e-9:
+            step /= 2
+        t = t + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(t[0]), max(float(t[1]), 1e-3)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
