@@ -200,45 +200,64 @@ class TokenCounter:
     _PIECES = regex.compile(
         rf"\n|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+")
 
+    #: What parts words otherwise than by one blank or line break.
+    _UNEVEN = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0]| [ \n]|\n[ \n]|\A[ \n]|[ \n]\Z")
+
     def __init__(self, path: str, whole: frozenset[str], cache_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = load(path)
         self._special = [a.content for a in self.library.get_added_tokens_decoder().values()]
         self._merges = _uncached(Tokenizer(self.library.model))
+        self._merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.library.get_vocab()
+        self._lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self._lengths[i] = len(token)
         self._whole = whole
         self._limit = cache_words
         self._counts = dict.fromkeys(whole, 1)
+        self._pieces: dict[str, int] = {}
 
     def count(self, texts: list[str]) -> list[int]:
-        split = (re.compile("|".join(map(re.escape, self._special))) if self._special else None)
-        parts, extra = [], []
+        """Tokens of each text. Words parted by single blanks and line breaks are told apart by a plain
+        split: the pieces between are " word" in the text, or with a line break in front "\\nword"."""
+        parts: list[tuple[bool, int, list[str]]] = []
         for text in texts:
-            found = 0
-            if split and any(s in text for s in self._special):
-                found = len(split.findall(text))
-                chunks = [c for p in split.split(text) for c in self._CHUNKS.findall(p)]
+            special = sum(map(text.count, self._special)) if "<|" in text else 0
+            if not special and text and is_latin1(text) and not self._UNEVEN.search(text):
+                parts.append((True, 0, text.replace("\n", " \n").split(" ")))
+            elif special:
+                between = re.split("|".join(map(re.escape, self._special)), text)
+                parts.append((False, len(between) - 1, [c for p in between for c in self._CHUNKS.findall(p)]))
             else:
-                chunks = self._CHUNKS.findall(text)
-            parts.append(chunks)
-            extra.append(found)
-        seen = set().union(*parts)
-        if len(self._counts) + len(seen) > self._limit + len(self._whole):
-            self._counts = dict.fromkeys(self._whole, 1)
-        self._learn(list(seen.difference(self._counts)))
-        get = self._counts.__getitem__
-        return [n + sum(map(get, chunks)) for n, chunks in zip(extra, parts)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Chunks of words: pre-tokens found whole count one, the rest are merged together."""
+                parts.append((False, 0, self._CHUNKS.findall(text)))
+        firsts = {p[2][0] for p in parts if p[0]}
+        chunks = firsts.union(*(p[2] for p in parts if not p[0]))
+        pieces = set().union(*(p[2][1:] for p in parts if p[0]))
+        if len(self._counts) + len(self._pieces) + len(pieces) + len(chunks) > self._limit + len(self._whole):
+            self._counts, self._pieces = dict.fromkeys(self._whole, 1), {}
+        new = pieces.difference(self._pieces)
+        asked = {p: p[1:] if p[0] == "\n" else " " + p for p in new}
+        wanted = {c for c in asked.values() if c}
+        learned = self._learn([c for c in wanted if c not in self._whole])
+        self._pieces.update((p, (p[0] == "\n") + (learned.get(c, 1) if c else 0)) for p, c in asked.items())
+        self._counts.update(self._learn(list(chunks.difference(self._counts))))
+        piece, chunk = self._pieces.__getitem__, self._counts.__getitem__
+        return [chunk(p[0]) + sum(map(piece, p[1:])) if even else n + sum(map(chunk, p))
+                for even, n, p in parts]
+
+    def _learn(self, new: list[str]) -> dict[str, int]:
+        """Tokens of chunks: pre-tokens found whole count one, the rest are merged together."""
+        result: dict[str, int] = {}
         words, others = [], []
         for chunk in new:
             (words if is_latin1(chunk) and not chunk.isspace() else others).append(chunk)
         if others:
             found = self.library.encode_batch_fast(others, add_special_tokens=False)
-            self._counts.update((c, len(e.ids)) for c, e in zip(others, found))
+            result.update((c, len(e.ids)) for c, e in zip(others, found))
         if not words:
-            return
+            return result
         pieces = self._PIECES.findall("\n".join(words))
         whole, owner, counts = self._whole, 0, [0] * len(words)
         rest, owners = [], []
@@ -250,11 +269,21 @@ class TokenCounter:
             else:
                 rest.append(piece)
                 owners.append(owner)
-        merged = self._merges.encode_batch_fast(list(map(to_byte_letters, rest)),
-                                                add_special_tokens=False)
-        for owner, found in zip(owners, merged):
-            counts[owner] += len(found)
-        self._counts.update(zip(words, counts))
+        for owner, n in zip(owners, self._merged(rest)):
+            counts[owner] += n
+        result.update(zip(words, counts))
+        return result
+
+    def _merged(self, pieces: list[str]) -> list[int]:
+        """Tokens of each pre-token. Many are merged at a time; as tokens are spelled with the letters
+        of their pre-token, running lengths tell which belong to which."""
+        if not pieces:
+            return []
+        joined = [to_byte_letters("\n".join(pieces[i:i + 200]), keep="\n") for i in range(0, len(pieces), 200)]
+        found = self._merges.encode_batch_fast(joined, add_special_tokens=False)
+        ends = np.cumsum(self._lengths[np.concatenate([np.array(e.ids, dtype=np.int64) for e in found])])
+        lengths = [len(p) for part in joined for p in part.split("\n")]
+        return np.diff(np.searchsorted(ends, np.cumsum(lengths)) + 1, prepend=0).tolist()
 
 
 def whole_tokens(path: str) -> frozenset[str]:
