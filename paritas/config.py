@@ -77,7 +77,8 @@ def _column_mapping(column: str, entry: Mapping) -> ColumnMapping:
         table = json.loads(detail) if isinstance(detail, str) and detail else detail or None
         if table is not None and not isinstance(table, Mapping):
             raise ConfigError(f"conversion of {column!r} needs an object of texts")
-        texts = None if table is None else {str(k): str(v) for k, v in table.items()}
+        # a value without a target keeps its own text
+        texts = None if table is None else {str(k): str(v) for k, v in table.items() if v is not None}
         return ColumnMapping(column, function, destinations, dictionary=texts)
     if function == AGGREGATION:
         if not detail:

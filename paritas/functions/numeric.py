@@ -23,8 +23,13 @@ NUMBER_TEXT = (
 def text_to_double(col: Column) -> Column:
     """Spark alone would also take ``1d`` or ``nan``; an overflow is a failure, not infinity."""
     parsed = col.try_cast("double")
+    # A finite number that begins with a sign, point or digit and ends with a point or digit can only
+    # be in the wrong notation if it is hexadecimal. All else that the cast takes is worth a pattern.
+    plain = (F.abs(parsed) < float("inf")) & F.ascii(col).between(43, 57) & F.ascii(F.right(col, F.lit(1))).between(
+        46, 57) & ~F.contains(F.lower(col), F.lit("x"))
     named_or_finite = (F.abs(parsed) != float("inf")) | col.rlike("[nN]")
-    return F.when(col.rlike(NUMBER_TEXT), F.when(named_or_finite, parsed))
+    checked = F.when(col.rlike(NUMBER_TEXT), F.when(named_or_finite, parsed))
+    return F.when(parsed.isNull(), F.lit(None)).when(plain, parsed).otherwise(checked)
 
 
 def to_numeric(col: Column, dtype: T.DataType) -> Column:
@@ -35,7 +40,7 @@ def to_numeric(col: Column, dtype: T.DataType) -> Column:
         return col.cast("int").cast("double")
     if isinstance(dtype, T.NumericType):
         return fold_nan(col.cast("double"), T.DoubleType())
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.unix_micros(col.cast("timestamp")).cast("double") * 1000.0
     return F.lit(None).cast("double")
 

@@ -7,14 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import stringify, typed
+from ..functions import is_missing, stringify, typed
 
-_PREFIX_DIGITS = 15  # 60 bits, so that sums of a trillion rows stay far below 38 digits
+# The 64 hexadecimal digits of a digest are added up in lanes. A lane of 16 digits stays below 2 * 10^19,
+# so that a sum of 10^18 rows fits into 38 decimal digits.
+_LANES, _LANE_DIGITS = 4, 16
 
 
 def row_digest(df: DataFrame, columns: Sequence[str] | None = None, separator: str = "\x1f") -> Column:
-    """SHA-256 of the canonical texts of a row."""
-    texts = [stringify(*typed(df, c)) for c in (columns or df.columns)]
+    """SHA-256 of the canonical texts of a row.
+
+    A missing value is told apart from the text that stands for it elsewhere, and each text is
+    preceded by its length, so that a separator inside a value cannot imitate two values.
+    """
+    texts = []
+    for name in columns or df.columns:
+        text = stringify(*typed(df, name))
+        texts.append(F.when(is_missing(*typed(df, name)), "-").otherwise(
+            F.concat(F.length(text).cast("string"), F.lit(":"), text)))
     return F.sha2(F.concat_ws(separator, *texts), 256)
 
 
@@ -23,17 +33,18 @@ def dataset_fingerprint(
 ) -> DataFrame:
     """``n_rows, n_columns, digest_sum, checksum``: equal for the same rows in any order.
 
-    The row digests are added up, so partitions combine freely and repeated rows still count.
+    The row digests are added up in lanes, all of their bits, so partitions combine freely and
+    repeated rows still count. ``digest_sum`` lists the sums of the lanes. The checksum also covers the
+    names of the columns.
     """
     names = list(columns or df.columns)
-    prefix = F.conv(F.substring(row_digest(df, names, separator), 1, _PREFIX_DIGITS), 16, 10)
-    totals = df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.sum(prefix.cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)")
-        .alias("digest_sum"),
-    )
-    seed = F.concat_ws(separator, F.col("n_rows").cast("string"), F.lit(str(len(names))),
-                       F.col("digest_sum").cast("string"))
+    digests = df.select(row_digest(df, names, separator).alias("_digest"))
+    lanes = [F.conv(F.substring("_digest", 1 + _LANE_DIGITS * i, _LANE_DIGITS), 16, 10).cast("decimal(20,0)")
+             for i in range(_LANES)]
+    sums = [F.coalesce(F.sum(lane), F.lit(0)).cast("decimal(38,0)").cast("string") for lane in lanes]
+    totals = digests.agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws(",", *sums).alias("digest_sum"))
+    header = [F.lit(f"{len(name)}:{name}") for name in names]
+    seed = F.concat_ws(separator, F.col("n_rows").cast("string"), F.lit(str(len(names))), *header, F.col("digest_sum"))
     return totals.select(
         "n_rows", F.lit(len(names)).alias("n_columns"), "digest_sum", F.sha2(seed, 256).alias("checksum")
     )

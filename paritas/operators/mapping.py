@@ -29,14 +29,18 @@ def convert_values(col: Column, dtype: T.DataType, dictionary: Mapping[str, str]
 def convert_by_join(
     df: DataFrame, column: str, dictionary: DataFrame, key: str = "value", to: str = "converted"
 ) -> DataFrame:
-    """The same lookup against a dictionary held as a table with distinct keys.
+    """The same lookup against a dictionary held as a table.
 
+    Of several targets of one key the smallest text counts, so that a lookup never adds rows; a key
+    without a target is as good as absent.
     Whether the dictionary is broadcast is left to its size. Otherwise the rows are shuffled by
     value, where a frequent value is split by the skew handling of the left side.
     """
     dtype = df.schema[column].dataType
     own = text_or_null(field(column), dtype)
-    table = dictionary.select(join_key(field(key)).alias("_lookup"), field(to).alias("_converted"))
+    targets = dictionary.where(field(to).isNotNull()).groupBy(field(key).alias("_key")).agg(
+        F.min(field(to).cast("string")).alias("_converted"))
+    table = targets.select(join_key(F.col("_key")).alias("_lookup"), "_converted")
     looked_up = df.withColumn("_text", join_key(stringify(field(column), dtype))).join(
         table, F.col("_text") == F.col("_lookup"), "left"
     )

@@ -20,10 +20,17 @@ from ..config import ConfigError, TableMapping
 from ..functions import field, fields, fold_nan, quoted, stringify, typed
 from .keys import cast_keys, join_key
 from .mapping import apply_rules
+from .profiling import seeded_sample
 
+# The name and the texts of the indicator.
 INDICATOR = "_merge"
 BOTH, LEFT_ONLY, RIGHT_ONLY = "both", "left_only", "right_only"
 
+# Names of columns that live inside a join only.
+_HELPER, _FOUND = "_paritas_k", "_paritas_found"
+# Digits of the largest value of each integral type.
+_WHOLE_DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
+
 
 def _kind(dtype: T.DataType) -> str:
     if isinstance(dtype, T.NumericType):
@@ -37,7 +44,7 @@ def _kind(dtype: T.DataType) -> str:
 
 @dataclass(frozen=True)
 class Side:
-    """One table ready to be compared. ``comparable`` maps helper names ``_k0..`` to the
+    """One table ready to be compared. ``comparable`` maps the names of helper columns to the
     comparable form of each key and value."""
 
     rows: DataFrame
@@ -83,6 +90,9 @@ def align(
     renewed = target.select(*[field(name).alias(name) for name in target.columns])
     keyed = cast_keys(renewed, plan.target_keys)
     pairs = [*zip(plan.source_keys, plan.target_keys), *plan.joined]
+    for side, df in (("source", mapped), ("target", keyed)):
+        if INDICATOR in [name.lower() for name in df.columns]:
+            raise ConfigError(f"the {side} has a column {INDICATOR!r}, which is the indicator's name")
     left, right = {}, {}
     for place, (a, b) in enumerate(pairs):
         if a not in mapped.columns:
@@ -93,7 +103,7 @@ def align(
             forms = join_key(field(a)), join_key(field(b))
         else:
             forms = _comparable(a, mapped.schema[a].dataType, b, keyed.schema[b].dataType, scale)
-        left[f"_k{place}"], right[f"_k{place}"] = forms
+        left[f"{_HELPER}{place}"], right[f"{_HELPER}{place}"] = forms
     return Alignment(
         Side(mapped, tuple(mapped.columns), tuple(a for a, _ in pairs), left),
         Side(keyed, tuple(keyed.columns), tuple(b for _, b in pairs), right),
@@ -112,14 +122,35 @@ def _comparable(a: str, left: T.DataType, b: str, right: T.DataType, scale: int
             wide = T.DecimalType(38, scale)
             return one.cast(wide), other.cast(wide)
         if left != right:
-            whole = isinstance(left, T.IntegralType) and isinstance(right, T.IntegralType)
-            wide = T.LongType() if whole else T.DoubleType()
+            wide = _common_number(a, left, b, right)
             return one.cast(wide), other.cast(wide)
     elif left != right:
         return one.cast("timestamp"), other.cast("timestamp")
     return one, other
 
 
+def _digits(dtype: T.DataType) -> tuple[int, int] | None:
+    """Digits before and behind the point of an exact type; nothing for binary fractions."""
+    if isinstance(dtype, T.DecimalType):
+        return dtype.precision - dtype.scale, dtype.scale
+    whole = _WHOLE_DIGITS.get(dtype.simpleString())
+    return None if whole is None else (whole, 0)
+
+
+def _common_number(a: str, left: T.DataType, b: str, right: T.DataType) -> T.DataType:
+    """A type in which both sides keep their exact values, if both are exact."""
+    one, other = _digits(left), _digits(right)
+    if one is None or other is None:
+        return T.DoubleType()
+    whole, scale = max(one[0], other[0]), max(one[1], other[1])
+    if scale == 0 and whole <= 19 and not isinstance(left, T.DecimalType) and not isinstance(right, T.DecimalType):
+        return T.LongType()
+    if whole + scale > 38:
+        raise ConfigError(f"{a!r} ({left.simpleString()}) and {b!r} ({right.simpleString()}) have no common "
+                          "decimal type; say with scale= how many digits count")
+    return T.DecimalType(whole + scale, scale)
+
+
 def _same(left: DataFrame, right: DataFrame, helpers: Sequence[str], keys: int) -> Column:
     """Keys are never NULL once they are text; values are compared null-safe."""
     parts = [
@@ -155,16 +186,17 @@ class Matcher:
     def _layout(self) -> list[tuple[str, str | None, str | None]]:
         """``(output name, source column, target column)``.
 
-        A pair under one name becomes one column; other clashes get ``_x`` and ``_y``.
+        A pair under one name becomes one column; other clashes get ``_x`` and ``_y``, names that
+        differ only in case included.
         """
         shared = {a for a, b in self.sides.pairs if a == b}
         ours, theirs = self.sides.source.columns, self.sides.target.columns
-        clashing = (set(ours) & set(theirs)) - shared
+        clashing = ({n.lower() for n in ours} & {n.lower() for n in theirs}) - {n.lower() for n in shared}
         layout: list[tuple[str, str | None, str | None]] = [
-            (f"{name}_x" if name in clashing else name, name, name if name in shared else None)
+            (f"{name}_x" if name.lower() in clashing else name, name, name if name in shared else None)
             for name in ours
         ]
-        layout += [(f"{name}_y" if name in clashing else name, None, name)
+        layout += [(f"{name}_y" if name.lower() in clashing else name, None, name)
                    for name in theirs if name not in shared]
         return layout
 
@@ -211,12 +243,18 @@ class Matcher:
         """
         if not self.sides.source_is_unique:
             return self.matched().unionByName(self.unmatched())
-        left = self.sides.source.keyed().withColumn("_found", F.lit(True))
+        left = self.sides.source.keyed().withColumn(_FOUND, F.lit(True))
         right = self.sides.target.keyed()
         rows = right.join(left, self._same(right, left), "left")
-        label = F.when(left["_found"].isNull(), RIGHT_ONLY).otherwise(BOTH)
+        label = F.when(left[_FOUND].isNull(), RIGHT_ONLY).otherwise(BOTH)
         return self._shape(rows, label, left, right).unionByName(self.left_only())
 
+    def sample(self, key: Sequence[str], n: int = 1000, seed: int = 42) -> DataFrame:
+        """The same ``n`` merged rows for the same seed, with ``is_match`` to part those on both sides
+        from the others. ``key`` names output columns that tell the merged rows apart."""
+        rows = seeded_sample(self.merged(), key, n, seed)
+        return rows.withColumn("is_match", F.col(INDICATOR) == BOTH)
+
     # -- counts ---------------------------------------------------------------------------
 
     def stats(self) -> DataFrame:

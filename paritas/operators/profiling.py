@@ -34,17 +34,20 @@ def _melt(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, sample standard deviation, minimum, quartiles and maximum per column.
 
-    The columns are stacked into one keyed column. The quartiles are exact and bounded per task.
+    The moments of all columns are one aggregate of the rows as they are. For the quartiles, which
+    are exact and bounded per task, the columns are stacked into one keyed column.
     """
     names = list(columns or numeric_columns(df))
     stacked = _melt(df, {n: to_numeric(*typed(df, n)) for n in names})
-    moments = stacked.groupBy("column_name").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    numbers = df.select(*[to_numeric(*typed(df, n)).alias(f"v{i}") for i, n in enumerate(names)])
+    if not names:
+        numbers = numbers.select(F.lit(None).cast("double").alias("v0"))
+    wide = numbers.agg(*[
+        F.struct(F.lit(n).alias("column_name"), F.count(f"v{i}").alias("count"), F.avg(f"v{i}").alias("mean"),
+                 F.stddev_samp(f"v{i}").alias("std"), F.min(f"v{i}").alias("min"), F.max(f"v{i}").alias("max"))
+        .alias(f"m{i}") for i, n in enumerate(names or [""])])
+    moments = wide.select(F.inline(F.array(*[F.col(f"m{i}") for i in range(len(names) or 1)]))).where(
+        F.lit(bool(names)))
     quartiles = exact_quantiles(stacked, ["column_name"], "value", QUARTILES)
     return moments.join(quartiles, ["column_name"], "left").select(
         "column_name", "count", "mean", "std", "min", *QUARTILES, "max"

@@ -91,13 +91,17 @@ def exact_quantiles(
     in_coarse = _holding(coarse_cells, names, "_coarse", _ranks(quantiles.values()),
                          [*names, coarse, F.col("_low"), F.col("_high")])
     near = counted.join(in_coarse, [*keys, "_coarse"]).select(
-        *names, coarse, v, "_count", "_wanted", _fine(v, F.col("_low"), F.col("_high")).alias("_fine")
+        *names, coarse, v, "_count", _fine(v, F.col("_low"), F.col("_high")).alias("_fine")
     )
-    fine_cells = near.groupBy(*names, coarse, fine).agg(
-        F.sum("_count").alias("_count"), F.any_value("_wanted").alias("_ranks")
-    )
-    in_fine = _holding(fine_cells, [*names, coarse], "_fine", F.col("_ranks"), [*names, coarse, fine])
-    values = near.drop("_wanted").join(in_fine, [*keys, "_coarse", "_fine"])
+    # Grouped by another expression than the join was dealt by, so that its output is reduced and
+    # shuffled again: only then can adaptive execution split the join where one cell of a hot key
+    # holds most values. The ranks are looked up afterwards for the same reason.
+    cell = F.struct(*names, coarse).alias("_cell")
+    fine_cells = near.groupBy(cell, fine).agg(F.sum("_count").alias("_count")).select(
+        *[F.col("_cell")[k].alias(k) for k in [*keys, "_coarse"]], fine, "_count")
+    fine_cells = fine_cells.join(in_coarse.select(*names, coarse, "_wanted"), [*keys, "_coarse"])
+    in_fine = _holding(fine_cells, [*names, coarse], "_fine", F.col("_wanted"), [*names, coarse, fine])
+    values = near.join(in_fine, [*keys, "_coarse", "_fine"])
     found = _holding(values, [*names, coarse, fine], "_v", F.col("_wanted"), [*names, v])
     slots = found.select(*names, v, F.explode("_wanted").alias("_t"))
     picks = []

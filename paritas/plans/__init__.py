@@ -6,10 +6,11 @@ from .jobs import (
     execute_validation,
     profile_table,
     skipped_columns,
+    validation_detail_counts,
     validation_details,
 )
 
 __all__ = [
     "audit_document", "audit_report", "evaluate_mapping", "execute_matching",
-    "execute_validation", "profile_table", "skipped_columns", "validation_details",
+    "execute_validation", "profile_table", "skipped_columns", "validation_detail_counts", "validation_details",
 ]

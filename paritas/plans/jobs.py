@@ -53,6 +53,13 @@ def validation_details(df: DataFrame, rules: Mapping) -> DataFrame:
     return rule_details(df, rule_set(df, rules))
 
 
+def validation_detail_counts(df: DataFrame, rules: Mapping) -> DataFrame:
+    """How many rows ``validation_details`` lists per rule. This differs from the fail count of the
+    rules on ranges and uniqueness. Rules without such rows are not listed."""
+    return validation_details(df, rules).groupBy("rule_no", "column_name", "rule").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
 def _lines(row: DataFrame, section: str, name: Column, values: Mapping[str, Column]) -> DataFrame:
     cells = [F.struct(F.lit(m).alias("metric"), c.cast("string").alias("value")) for m, c in values.items()]
     return row.select(

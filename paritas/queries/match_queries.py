@@ -225,7 +225,40 @@ UNION ALL SELECT 'aggregation_accuracy', 'l_quantity', 'total', CAST(m AS VARCHA
 UNION ALL SELECT 'aggregation_accuracy', 'l_quantity', 'accuracy', '100.00%' FROM keys
 """
 
+def merged_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_matcher(spark, sf_dir).sample(["l_orderkey", "order_id"], n=1000, seed=42)
+
+
+MERGED_SAMPLE_SQL = ORDER_SQL + f"""
+SELECT {_COLUMNS}, _merge = 'both' AS is_match FROM merged
+ORDER BY md5('42|' || COALESCE(l_orderkey, '<NA>') || '|' || COALESCE(order_id, '<NA>')), l_orderkey, order_id LIMIT 1000
+"""
+
+
+def exact_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of large decimals against targets that differ in the last of their digits, or in type only."""
+    big = F.lit("90000000000000").cast("decimal(18,2)")
+    lineitem = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", (F.col("l_extendedprice").cast("decimal(18,2)") + big).cast("decimal(18,2)").alias("price"))
+    sums = lineitem.groupBy("l_orderkey").agg(F.sum("price").alias("total"))
+    off = F.when(F.col("l_orderkey") % 3 == 0, F.lit("0.01")).otherwise("0.00").cast("decimal(18,2)")
+    target = sums.select(F.col("l_orderkey").alias("order_id"), (F.col("total") + off).cast("decimal(24,4)").alias("sum"))
+    mapping = {"key_source": ["l_orderkey"], "key_target": ["order_id"], "mappings": {
+        "price": {"destinations": ["sum"], "function": "Aggregation", "transformation": "sum"}}}
+    return Matcher(lineitem, target, mapping).stats()
+
+
+EXACT_SQL = """
+WITH s AS (SELECT DISTINCT l_orderkey FROM lineitem)
+SELECT COUNT(*) FILTER (WHERE l_orderkey % 3 <> 0) AS total_match,
+       COUNT(*) FILTER (WHERE l_orderkey % 3 = 0) AS missing_source,
+       COUNT(*) FILTER (WHERE l_orderkey % 3 = 0) AS missing_target
+FROM s
+"""
+
 QUERIES = {
+    "merged_sample": Query(merged_sample, MERGED_SAMPLE_SQL),
+    "exact_decimals": Query(exact_decimals, EXACT_SQL),
     "reconcile_full_outer": Query(reconcile_full_outer, ORDER_SQL + f"SELECT {_COLUMNS} FROM merged"),
     "merge_indicator": Query(
         merge_indicator, ORDER_SQL + "SELECT _merge, COUNT(*) AS row_count FROM merged GROUP BY _merge"),

@@ -11,6 +11,7 @@ from .. import sources
 from ..config import ALLOWED_RULE, NULL_RULE, RANGE_RULE, REGEX_RULE, UNIQUE_RULE, Rule
 from ..functions.folding import substitutions
 from ..operators import keys as key_ops
+from ..config import TableMapping
 from ..operators.digest import row_digest as digest_of
 from ..operators.mapping import convert_by_join, convert_values as convert
 from ..operators.mapping import project_mapped as project
@@ -53,13 +54,21 @@ FROM orders
 """
 
 
+#: A mapping whose table has a value without a target, which keeps its own text.
+_CUSTOMERS = TableMapping.of({
+    "key_source": ["o_orderkey"], "key_target": ["o_orderkey"],
+    "mappings": {"o_custkey": {"destinations": ["customer"], "function": "Conversion mapping",
+                               "transformation": '{"7": "seven", "8": null}'}},
+})
+
+
 def convert_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderstatus"))
     return orders.select(
         "o_orderkey",
         convert(status, T.StringType(), {**STATUS_TABLE, "<NA>": "UNKNOWN"}).alias("status"),
-        convert(F.col("o_custkey"), T.LongType(), {"7": "seven"}).alias("customer"),
+        convert(F.col("o_custkey"), T.LongType(), dict(_CUSTOMERS.columns[0].dictionary)).alias("customer"),
     )
 
 
@@ -73,11 +82,13 @@ FROM orders
 
 
 def dictionary_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All customers; the dictionary lacks every third nation, whose number then stays."""
+    """All customers; the dictionary lacks every third nation, whose number then stays, and names
+    every fourth one twice."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").where(F.col("n_nationkey") % 3 != 0).select(
         F.col("n_nationkey").cast("string").alias("value"), F.col("n_name").alias("converted"))
-    return convert_by_join(customer, "c_nationkey", nation)
+    again = nation.where(F.col("value").cast("int") % 4 == 0).withColumn("converted", F.lit("zz"))
+    return convert_by_join(customer, "c_nationkey", nation.union(again))
 
 
 DICTIONARY_SQL = """
@@ -251,14 +262,18 @@ WITH shares AS (
 
 def row_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+        "o_orderkey", F.when(F.col("o_orderkey") % 8 != 0, F.col("o_orderstatus")).alias("o_orderstatus"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
     return orders.select("o_orderkey", digest_of(orders).alias("digest"))
 
 
 ROW_DIGEST_SQL = """
-SELECT o_orderkey, sha256(CAST(o_orderkey AS VARCHAR) || chr(31) || o_orderstatus || chr(31) ||
-       CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR)) AS digest
-FROM orders
+WITH t AS (
+  SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS a, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) AS c,
+         CASE WHEN o_orderkey % 8 <> 0 THEN '1:' || o_orderstatus ELSE '-' END AS b FROM orders
+)
+SELECT o_orderkey, sha256(length(a) || ':' || a || chr(31) || b || chr(31) || length(c) || ':' || c) AS digest
+FROM t
 """
 
 _RULES = {

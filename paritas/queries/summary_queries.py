@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..config import ALLOWED_RULE, NULL_RULE, RANGE_RULE, REGEX_RULE, UNIQUE_RULE, Rule, RuleSet
 from ..operators import aggregates, digest, keys, mapping, profiling
 from ..operators.rules import rule_counts
+from ..plans import audit_document
 from ..plans import audit_report as audit
 from ..plans import execute_validation as validate
 from ..plans import profile_table as profile
+from ..plans import validation_detail_counts as detail_counts
 from ..plans import validation_details as details
+from ..session import scratch_path
+from ..sources.sinks import export_json
 from .common import EVENT_RULES, EVENT_SQL, RULE_ROWS_SQL, Query, gappy_events, table
 
 
@@ -66,7 +70,8 @@ def agg_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["l_suppkey"],
         [("l_quantity", "count", "n"), ("l_quantity", "nunique", "n_distinct"),
          ("l_quantity", "std", "spread"), ("l_quantity", "var", "variance"),
-         ("l_extendedprice", "last", "latest"), ("l_returnflag", "nunique", "n_flags")],
+         ("l_extendedprice", "last", "latest"), ("l_returnflag", "nunique", "n_flags"),
+         ("factor", "prod", "product")],
         order_by=["l_extendedprice", "l_linenumber"])
     return rows.withColumns({c: F.round(c, 5) for c in ("spread", "variance")})
 
@@ -74,7 +79,8 @@ def agg_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
 PASSTHROUGH_SQL = _LINE_SQL + """
 SELECT l_suppkey, COUNT(l_quantity) AS n, COUNT(DISTINCT l_quantity) AS n_distinct,
        round(stddev_samp(l_quantity), 5) AS spread, round(var_samp(l_quantity), 5) AS variance,
-       MAX(l_extendedprice) AS latest, COUNT(DISTINCT l_returnflag) AS n_flags
+       MAX(l_extendedprice) AS latest, COUNT(DISTINCT l_returnflag) AS n_flags,
+       product(CASE WHEN l_linenumber < 3 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END) AS product
 FROM li GROUP BY l_suppkey
 """
 
@@ -195,20 +201,29 @@ def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _priced_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with gaps, and with the separator inside of values."""
+    status = F.when(F.col("o_orderkey") % 8 != 0, F.concat("o_orderstatus", F.lit("|x")))
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+        "o_orderkey", status.alias("o_orderstatus"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
 
 
-FINGERPRINT_SQL = """
-WITH h AS (
-  SELECT sha256(CAST(o_orderkey AS VARCHAR) || '|' || o_orderstatus || '|' ||
-                CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR)) AS d FROM orders
-), s AS (
-  SELECT COUNT(*) AS n_rows, CAST(SUM(CAST(('0x' || substr(d, 1, 15)) AS BIGINT)) AS DECIMAL(38, 0)) AS digest_sum
-  FROM h
-)
+def _told(*columns: str) -> str:
+    """SQL for the texts of a row as a digest takes them: each behind its length, missing apart."""
+    return ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE length({c}) || ':' || {c} END" for c in columns)
+
+
+#: The four lanes of the digests' sum.
+LANES_SQL = " || ',' || ".join(
+    f"CAST(SUM(CAST('0x' || substr(d, {1 + 16 * i}, 16) AS UBIGINT)) AS VARCHAR)" for i in range(4))
+
+FINGERPRINT_SQL = f"""
+WITH t AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS a, CASE WHEN o_orderkey % 8 <> 0 THEN o_orderstatus || '|x' END AS b,
+         CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) AS c FROM orders
+), h AS (SELECT sha256(concat_ws('|', {_told("a", "b", "c")})) AS d FROM t),
+s AS (SELECT COUNT(*) AS n_rows, {LANES_SQL} AS digest_sum FROM h)
 SELECT n_rows, 3 AS n_columns, digest_sum,
-       sha256(CAST(n_rows AS VARCHAR) || '|3|' || CAST(digest_sum AS VARCHAR)) AS checksum
+       sha256(n_rows || '|3|10:o_orderkey|13:o_orderstatus|5:price|' || digest_sum) AS checksum
 FROM s
 """
 
@@ -293,6 +308,15 @@ UNION ALL SELECT 4, 'event_type', 'Values not matching regex', * FROM ev
   WHERE NOT regexp_matches(event_type, '^(?:p|s)')
 """
 
+DETAIL_COUNTS_SQL = f"""
+SELECT rule_no, column_name, rule, COUNT(*) AS n_rows FROM ({DETAILS_SQL}) GROUP BY ALL
+"""
+
+
+def validation_detail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detail_counts(gappy_events(spark, sf_dir), EVENT_RULES)
+
+
 _CUSTOMER = ("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
@@ -347,20 +371,29 @@ def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(customer, target, _AUDIT_MAPPING, _AUDIT_RULES, "2024-01-01T00:00:00", ["c_custkey"])
 
 
-AUDIT_SQL = """
+def export_audit_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the report, written as one document and read back where its checksum holds."""
+    path = scratch_path(spark, "audit")
+    export_json(audit_document(audit_report(spark, sf_dir)), path)
+    stored = spark.read.schema("document string, checksum string").json(path)
+    lines = F.from_json("document", "array<struct<section:string,item:string,metric:string,value:string>>")
+    return stored.where(F.sha2("document", 256) == F.col("checksum")).select(F.inline(lines))
+
+
+AUDIT_SQL = f"""
 WITH src AS (SELECT c_custkey, c_mktsegment FROM customer),
 tgt AS (
   SELECT c_custkey AS id, c_acctbal AS balance,
          CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment ELSE 'NONE' END AS segment
   FROM customer WHERE c_custkey % 6 <> 0
 ), h AS (
-  SELECT 'source' AS side, 2 AS c, sha256(c_custkey || chr(31) || c_mktsegment) AS d FROM src
+  SELECT 'source' AS side, 2 AS c, '9:c_custkey' || chr(31) || '12:c_mktsegment' AS names,
+         sha256(concat_ws(chr(31), {_told("CAST(c_custkey AS VARCHAR)", "c_mktsegment")})) AS d FROM src
   UNION ALL
-  SELECT 'target', 3, sha256(id || chr(31) || CAST(balance AS VARCHAR) || chr(31) || segment) FROM tgt
+  SELECT 'target', 3, '2:id' || chr(31) || '7:balance' || chr(31) || '7:segment',
+         sha256(concat_ws(chr(31), {_told("CAST(id AS VARCHAR)", "CAST(balance AS VARCHAR)", "segment")})) FROM tgt
 ), f AS (
-  SELECT side, c, COUNT(*) AS n,
-         CAST(SUM(CAST(('0x' || substr(d, 1, 15)) AS BIGINT)) AS DECIMAL(38, 0)) AS digest_sum
-  FROM h GROUP BY side, c
+  SELECT side, c, names, COUNT(*) AS n, {LANES_SQL} AS digest_sum FROM h GROUP BY side, c, names
 ), joined AS (
   SELECT id, c_custkey FROM src FULL JOIN tgt ON c_custkey = id AND c_mktsegment IS NOT DISTINCT FROM segment
 ), r AS (
@@ -381,7 +414,7 @@ UNION ALL SELECT 'validation_configuration', 'segment', 'validate_list_of_values
 UNION ALL SELECT 'data_audit', side, 'rows', CAST(n AS VARCHAR) FROM f
 UNION ALL SELECT 'data_audit', side, 'columns', CAST(c AS VARCHAR) FROM f
 UNION ALL SELECT 'data_audit', side, 'checksum',
-  sha256(n || chr(31) || c || chr(31) || digest_sum) FROM f
+  sha256(n || chr(31) || c || chr(31) || names || chr(31) || digest_sum) FROM f
 UNION ALL SELECT 'matching', 'records', 'total_match',
   CAST(COUNT(*) FILTER (WHERE id IS NOT NULL AND c_custkey IS NOT NULL) AS VARCHAR) FROM joined
 UNION ALL SELECT 'matching', 'records', 'missing_source', CAST(COUNT(*) FILTER (WHERE c_custkey IS NULL) AS VARCHAR) FROM joined
@@ -432,6 +465,8 @@ QUERIES = {
     "apply_rules": Query(apply_rules, APPLY_SQL),
     "execute_validation": Query(execute_validation, EVENT_SQL + RULE_ROWS_SQL + "SELECT * FROM results"),
     "validation_details": Query(validation_details, DETAILS_SQL),
+    "validation_detail_counts": Query(validation_detail_counts, DETAIL_COUNTS_SQL),
+    "export_audit_document": Query(export_audit_document, AUDIT_SQL),
     "profile_table": Query(profile_table, _profile_sql()),
     "audit_report": Query(audit_report, AUDIT_SQL),
 }

@@ -66,7 +66,8 @@ def scan_csv(
 ) -> DataFrame:
     """All columns as text. Lines with too many fields are dropped, short ones get NULLs.
 
-    ``multiline`` allows line breaks inside quotes, at the price of one task per file.
+    ``multiline`` allows line breaks inside quotes, at the price of one task per file. Without it a
+    short line with an open quote, as such a field leaves it behind, raises an error.
     """
     delimiter = delimiter or delimiter_of(spark, path)
     names = list(columns) if columns else header_of(spark, path, delimiter)
@@ -90,6 +91,13 @@ def scan_csv(
     line = F.concat(F.col(_BROKEN), F.left(F.coalesce(hidden[0], F.lit("")), F.lit(0)))
     short = _field_count(line, delimiter) <= len(names)
     kept = rows.where(F.col(_BROKEN).isNull() | short)
+    if not multiline:
+        # Half a record must not pass as a short line.
+        quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+        failure = F.concat(F.lit("a quoted field goes on behind its line; read with multiline=True: "),
+                           F.input_file_name())
+        kept = kept.where(F.when(F.coalesce(quotes % 2 == 1, F.lit(False)), F.raise_error(failure).cast("boolean"))
+                          .otherwise(F.lit(True)))
     return normalize_headers(kept.select(*hidden).toDF(*names))
 
 

@@ -32,7 +32,7 @@ def test_to_numeric_of_other_types(spark):
     df = spark.sql("SELECT true AS b, double('nan') AS d, 3 AS i, timestamp'1970-01-01 00:00:01' AS t, "
                    "date'1970-01-01' AS x")
     row = df.select(*[fn.to_numeric(F.col(c), df.schema[c].dataType).alias(c) for c in df.columns]).first()
-    assert tuple(row) == (1.0, None, 3.0, 1e9, None)
+    assert tuple(row) == (1.0, None, 3.0, 1e9, 0.0)
 
 
 def test_canonical_text(spark):

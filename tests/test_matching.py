@@ -236,3 +236,50 @@ def test_evaluation_of_nothing(shops):
     lines = _lines(evaluate_mapping(source.limit(0), target, config, ["shop_id"], order_by=["sales"]))
     assert lines["key_matches", "keys", "match_rate"] == "0.00%"
     assert lines["aggregation_accuracy", "sales", "accuracy"] == "0%"
+
+
+def test_decimals_are_compared_exactly(spark):
+    source = spark.sql("select 1 k, cast('99999999999999.98' as decimal(18,2)) v")
+    target = spark.sql("select 1 t, cast('99999999999999.99' as decimal(20,3)) w")
+    both = Matcher(source, target, mapping([("k", "t")], v="w"), ["k"])
+    assert both.stats().first().total_match == 0
+    same = spark.sql("select 1 t, cast('99999999999999.98' as decimal(20,3)) w")
+    assert Matcher(source, same, mapping([("k", "t")], v="w"), ["k"]).stats().first().total_match == 1
+    whole = spark.sql("select 1 t, 9007199254740993L w")
+    near = spark.sql("select 1 k, cast('9007199254740992' as decimal(20,0)) v")
+    assert Matcher(near, whole, mapping([("k", "t")], v="w"), ["k"]).stats().first().total_match == 0
+    wide = spark.sql("select 1 t, cast(1 as decimal(38,30)) w")
+    with pytest.raises(ConfigError, match="scale="):
+        Matcher(source, wide, mapping([("k", "t")], v="w"), ["k"])
+
+
+def test_names_that_differ_in_case(spark):
+    source = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    target = spark.createDataFrame([(1, "a"), (3, "c")], "ID int, Name string")
+    merged = Matcher(source, target, mapping([("id", "ID")], name="Name"), ["id"]).merged()
+    assert merged.columns == ["id_x", "name_x", "ID_y", "Name_y", "_merge"]
+    assert {r._merge for r in merged.collect()} == {"both", "left_only", "right_only"}
+    with pytest.raises(ConfigError, match="_merge"):
+        Matcher(source, target.withColumn("_Merge", target.ID), mapping([("id", "ID")]))
+
+
+def test_a_hot_cell_is_split(spark):
+    from pyspark.sql import functions as F
+
+    from paritas.operators.quantiles import exact_quantiles
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "64k")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "2")
+    try:
+        key = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 5000)
+        df = spark.range(300_000).select(key.alias("k"), (1000 + F.col("id") / 300_000).alias("v"))
+        found = exact_quantiles(df, ["k"], "v", {"q": 0.5})
+        assert _splits(found) >= 1
+        assert found.where("k = 0").first().q == pytest.approx(
+            df.where("k = 0").agg(F.median("v")).first()[0])
+    finally:
+        for name in ("autoBroadcastJoinThreshold", "adaptive.skewJoin.skewedPartitionThresholdInBytes",
+                     "adaptive.advisoryPartitionSizeInBytes", "adaptive.skewJoin.skewedPartitionFactor"):
+            spark.conf.unset(f"spark.sql.{name}")

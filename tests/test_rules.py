@@ -199,3 +199,23 @@ def test_profile_and_report(spark, frame):
     document = audit_document(report).first()
     assert len(json.loads(document.document)) == len(got)
     assert document.checksum == audit_document(report.repartition(5)).first().checksum
+
+
+def test_fingerprint_sees_names_gaps_and_separators(spark):
+    def of(rows, schema="a string, b string"):
+        return digest.dataset_fingerprint(spark.createDataFrame(rows, schema)).first().checksum
+
+    seen = [of([("x", "y")]), of([("x", "y")], "a string, c string"), of([(None, "y")]), of([("<NA>", "y")]),
+            of([("x\x1fy", "z")]), of([("x", "y\x1fz")])]
+    assert len(set(seen)) == len(seen)
+
+
+def test_dates_are_checked_like_timestamps(spark):
+    from paritas.operators.rules import in_range, is_allowed
+
+    df = spark.sql("select date'2024-01-02' d, timestamp'2024-01-02' t")
+    for name in ("d", "t"):
+        col, dtype = F.col(name), df.schema[name].dataType
+        row = df.select(is_allowed(col, dtype, ["2024-01-02"]), is_allowed(col, dtype, ["2024-01-03"]),
+                        in_range(col, dtype, 0, None), in_range(col, dtype, None, 5)).first()
+        assert tuple(row) == (True, False, True, False)
