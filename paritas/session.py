@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -25,6 +26,12 @@ def local_session(cpus: int | str = "*", app_name: str = "paritas") -> SparkSess
     )
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> tempfile.TemporaryDirectory:
+    """One folder per process of a local master, removed when the process ends."""
+    return tempfile.TemporaryDirectory(prefix="paritas-", ignore_cleanup_errors=True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh directory name below the shared folder in ``spark.checkpoint.dir``.
 
@@ -35,5 +42,5 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        shared = tempfile.mkdtemp(prefix="paritas-")
+        shared = _own_folder().name
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
