@@ -18,9 +18,9 @@ from .tokens import slices
 #: and backwards from each sentence that ends none of these, so that a repeated passage is covered up
 #: to its last sentence.
 RUN_SENTENCES, RUN_WORDS = 2, 20
-#: Sentences of more words are cut behind words chosen by their own hash, about every fourth, so that
+#: Sentences of more words are cut behind words chosen by their own hash, about every eighth, so that
 #: passages without full stops fall into the same pieces wherever they stand.
-LONG_SENTENCE, CUT_EVERY = 16, 4
+LONG_SENTENCE, CUT_EVERY = 24, 8
 #: Runs that a task reduces to one candidate per hash at a time.
 BLOCK_RUNS = 1_000_000
 

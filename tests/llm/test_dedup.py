@@ -146,7 +146,7 @@ def brute_removal(docs):
 
 def passage_docs():
     passage = fixtures.prose(77, 60)
-    wordy = " ".join(f"flow{i * i % 97}x" for i in range(70))  # no full stop at all
+    wordy = " ".join(f"flow{i * i % 9973}x" for i in range(120))  # no full stop at all
     texts = [fixtures.prose(i, 90) for i in range(8)]
     texts[2] = f"{texts[2]}\n{passage}\n{fixtures.prose(40, 30)}"
     texts[5] = f"{fixtures.prose(41, 30)} {passage} {texts[5]}"
