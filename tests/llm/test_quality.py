@@ -281,7 +281,7 @@ def test_hilbert_curve_visits_neighbours():
 # -- pipeline ------------------------------------------------------------------------------------------
 
 def test_stages_take_effect_and_keep_columns(spark, tmp_path):
-    docs, labels = planted_toxicity(spark, 60)
+    docs, labels = planted_toxicity(spark, 200)
     copies = docs.where("doc_id in (1, 2)").withColumn("doc_id", F.col("doc_id") + 500)
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars").union(copies.select("doc_id", "text", "lang", "source", "n_chars"))
     labels.write.parquet(f"{tmp_path}/labels.parquet")
@@ -294,11 +294,11 @@ def test_stages_take_effect_and_keep_columns(spark, tmp_path):
         at = spark.read.parquet(path)
         ids = {r.doc_id for r in at.select("doc_id").collect()}
         if name == "toxicity":
-            assert not any(i % 5 == 0 for i in ids if i < 500) and len(ids) == 50
+            assert not any(i % 5 == 0 for i in ids if i < 500) and len(ids) == 162
         else:
-            assert ids == {i for i in range(60) if i % 5}, name
+            assert ids == {i for i in range(200) if i % 5}, name
     packed = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path))
-    assert packed.select("doc_id").distinct().count() == 48
+    assert packed.select("doc_id").distinct().count() == 160
 
 
 def test_pipeline_on_the_test_table(spark):
