@@ -48,10 +48,18 @@ def header_of(spark: SparkSession, path: str, delimiter: str) -> list[str]:
     return unique_headers(first)
 
 
+def _unquoted(line: Column, delimiter: str) -> Column:
+    return F.regexp_replace(line, rf'(?<=^|[{re.escape(delimiter)}"])"[^"]*"', "")
+
+
+def _is_open(line: Column, delimiter: str) -> Column:
+    """Whether a field begins with a quote that the line does not close."""
+    return _unquoted(line, delimiter).rlike(rf'(^|[{re.escape(delimiter)}])"')
+
+
 def _field_count(line: Column, delimiter: str) -> Column:
     """Fields in a raw line; delimiters inside quotes do not count."""
-    mark = re.escape(delimiter)
-    unquoted = F.regexp_replace(line, rf'(?<=^|[{mark}"])"[^"]*"', "")
+    unquoted = _unquoted(line, delimiter)
     without = F.replace(unquoted, F.lit(delimiter), F.lit(""))
     return F.length(unquoted) - F.length(without) + 1
 
@@ -67,7 +75,7 @@ def scan_csv(
     """All columns as text. Lines with too many fields are dropped, short ones get NULLs.
 
     ``multiline`` allows line breaks inside quotes, at the price of one task per file. Without it a
-    short line with an open quote, as such a field leaves it behind, raises an error.
+    short line that ends inside a quoted field raises an error.
     """
     delimiter = delimiter or delimiter_of(spark, path)
     names = list(columns) if columns else header_of(spark, path, delimiter)
@@ -93,10 +101,9 @@ def scan_csv(
     kept = rows.where(F.col(_BROKEN).isNull() | short)
     if not multiline:
         # Half a record must not pass as a short line.
-        quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
         failure = F.concat(F.lit("a quoted field goes on behind its line; read with multiline=True: "),
                            F.input_file_name())
-        kept = kept.where(F.when(F.coalesce(quotes % 2 == 1, F.lit(False)), F.raise_error(failure).cast("boolean"))
+        kept = kept.where(F.when(F.coalesce(_is_open(line, delimiter), F.lit(False)), F.raise_error(failure).cast("boolean"))
                           .otherwise(F.lit(True)))
     return normalize_headers(kept.select(*hidden).toDF(*names))
 

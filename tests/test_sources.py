@@ -110,3 +110,11 @@ def test_union_all(spark):
 def test_empty_file(spark, folder):
     df = sources.read_csv(spark, folder(a=""), delimiter=",")
     assert df.count() == 0
+
+
+def test_a_field_that_goes_on_behind_its_line(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('id,note,n\n1,"one\ntwo",5\n2,x"y,6\n')
+    with pytest.raises(Exception, match="multiline=True"):
+        sources.scan_csv(spark, str(tmp_path / "t.csv")).collect()
+    rows = [tuple(r) for r in sources.scan_csv(spark, str(tmp_path / "t.csv"), multiline=True).collect()]
+    assert rows == [("1", "one\ntwo", "5"), ("2", 'x"y', "6")]
