@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
+from paritas.llm import near_copies as near
 from paritas.llm import simhash_trie as trie
 from paritas.llm import sentence_spans as spans
 from paritas.llm.components import connected_components
@@ -107,6 +109,60 @@ def test_large_roots_are_divided_without_loss(spark, monkeypatch, limit):
     assert (found.parent == expected.parent).all()
 
 
+def brute_groups(docs) -> dict:
+    """The smallest id that links of a Jaccard similarity of 0.8 over five words reach."""
+    sets = {}
+    for doc_id, text in docs:
+        words = (text or "").lower().split()
+        sets[doc_id] = {tuple(words[i:i + 5]) for i in range(max(len(words) - 4, min(len(words), 1)))}
+    group = {i: i for i in sets}
+    holders = {}
+    for i in sorted(sets):
+        shared = {}
+        for s in sets[i]:
+            for j in holders.setdefault(s, []):
+                shared[j] = shared.get(j, 0) + 1
+            holders[s].append(i)
+        near_ones = {group[j] for j, n in shared.items() if 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n)}
+        if not sets[i]:
+            near_ones = {group[j] for j in sets if j < i and not sets[j]}
+        if near_ones:
+            least = min(near_ones)
+            group = {k: least if g in near_ones or k == i else g for k, g in group.items()}
+    return group
+
+
+def copies_at_many_similarities():
+    """Texts of 200 words and copies with 1 to 6 changed words, at Jaccard 0.73 to 0.95; some link others."""
+    texts = []
+    for seed in range(12):
+        words = fixtures.prose(700 + seed, 200).split()
+        texts.append(" ".join(words))
+        for changes in range(1, 7):
+            changed = list(words)
+            for c in range(changes):
+                changed[20 + 30 * c + seed] = f"other{seed}x{changes}x{c}"
+            texts.append(" ".join(changed))
+    return texts
+
+
+def test_stage_drops_copies_of_similarity_08(spark):
+    texts = copies_at_many_similarities() + ["", None, "one", "One", "a b c d e f g h i", "a b c d e f g h i j"]
+    group = brute_groups(list(enumerate(texts)))
+    left = corpus_pipeline.drop_near_duplicates(spark, fixtures.documents(spark, texts), "").collect()
+    assert sorted(r.doc_id for r in left) == sorted(set(group.values()))
+    assert 12 < len(set(group.values())) < 40
+
+
+def test_groups_on_the_test_table_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    group = brute_groups([(r.doc_id, r.text) for r in docs.collect()])
+    found = {r.doc_id: r.component for r in near.near_copies(docs).collect()}
+    least = {c: min(i for i in found if found[i] == c) for c in set(found.values())}
+    assert {i: least[c] for i, c in found.items()} == group
+    assert near.near_copies(fixtures.empty(spark)).count() == 0
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (200, 201), (201, 200)]
     found = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
