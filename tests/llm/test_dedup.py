@@ -154,6 +154,14 @@ def test_stage_drops_copies_of_similarity_08(spark):
     assert 12 < len(set(group.values())) < 40
 
 
+def test_stage_keeps_different_texts_of_one_id(spark):
+    one, two, three = (fixtures.prose(i, 60) for i in (801, 802, 803))
+    rows = [(5, one), (5, two), (5, two), (3, one), (9, three), (9, three + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert left[:2] == [(3, one), (5, two)] and len(left) == 3 and left[2] in rows[4:]
+
+
 def test_groups_on_the_test_table_equal_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     group = brute_groups([(r.doc_id, r.text) for r in docs.collect()])
