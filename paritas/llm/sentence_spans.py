@@ -18,36 +18,63 @@ from .tokens import slices
 #: and backwards from each sentence that ends none of these, so that a repeated passage is covered up
 #: to its last sentence.
 RUN_SENTENCES, RUN_WORDS = 2, 20
-#: Sentences of more words are cut behind words chosen by their own hash, about every eighth, so that
-#: passages without full stops fall into the same pieces wherever they stand.
-LONG_SENTENCE, CUT_EVERY = 24, 8
+#: Sentences of more words are cut behind the word that begins the pair of least hash in each window of so
+#: many pairs, so that passages fall into the same pieces wherever they stand. Two places of a passage have all
+#: cuts in common but those of the first and the last window, and no piece is longer than the window: any
+#: 51 words in common hold a whole run.
+CUT_WINDOW = 10
 #: Runs that a task reduces to one candidate per hash at a time.
 BLOCK_RUNS = 1_000_000
 
 _ENDS = re.compile(r"(?:[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？]+|\n)\s*")
-_WORDS = re.compile(r"\S+")
+_WORDS = re.compile(r"\S+\s*")
+_KEPT_WORDS = 500_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 
+class _Hashes(dict):
+    """Hashes of words, kept; starts anew when full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _KEPT_WORDS:
+            self.clear()
+        found = self[word] = zlib.crc32(word.encode())
+        return found
+
+
+_hashes = _Hashes()
+
+
+def _window_minima(keys: np.ndarray) -> np.ndarray:
+    """Least key of each window of ``CUT_WINDOW``."""
+    width = 1
+    while 2 * width <= CUT_WINDOW:
+        keys, width = np.minimum(keys[:-width], keys[width:]), 2 * width
+    rest = CUT_WINDOW - width
+    return np.minimum(keys[:-rest], keys[rest:]) if rest else keys
+
+
 def sentences(text: str) -> list[int]:
-    """Ends of the sentences of ``text``; together they are all of it."""
+    """Ends of the sentences of ``text`` and of the pieces of long ones; together they are all of it."""
     ends = [m.end() for m in _ENDS.finditer(text)]
     if text and (not ends or ends[-1] < len(text)):
         ends.append(len(text))
-    result, start = [], 0
-    for end in ends:
-        if text.count(" ", start, end) > LONG_SENTENCE:
-            for word in _WORDS.finditer(text, start, end):
-                if zlib.crc32(word[0].lower().encode()) % CUT_EVERY == 0:
-                    cut = word.end()
-                    while cut < end and text[cut].isspace():
-                        cut += 1
-                    if cut < end:
-                        result.append(cut)
-        result.append(end)
-        start = end
-    return result
+    lengths = list(map(len, _WORDS.findall(text)))
+    if len(lengths) <= CUT_WINDOW:
+        return ends
+    starts = np.cumsum([len(text) - sum(lengths), *lengths[:-1]])
+    hashes = np.array(list(map(_hashes.__getitem__, text.lower().split())), dtype=np.uint64)
+    if len(hashes) != len(starts):  # lower case never adds white space
+        raise ValueError("words of a text and of its lower case differ")
+    pairs = (hashes[:-1] * np.uint64(_MULTIPLIER) ^ hashes[1:]) * np.uint64(_INVERSE)
+    # the last of equal hashes is the least
+    keys = pairs >> np.uint64(32) << np.uint64(32) | np.arange(len(pairs), 0, -1, dtype=np.uint64)
+    least = _window_minima(keys)
+    owner = np.searchsorted(np.array(ends), starts, side="right")
+    inside = owner[:-CUT_WINDOW] == owner[CUT_WINDOW:]
+    behind = len(pairs) - (least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64) + 1
+    return sorted({*ends, *starts[np.unique(behind)].tolist()})
 
 
 def _powers(base: int, n: int) -> np.ndarray:

@@ -231,6 +231,22 @@ def test_repeats_are_removed_but_the_first(spark):
     assert all(r.n_chars == len(r.text) for r in found.values())
 
 
+@pytest.mark.parametrize("kind", ["prose", "tabs", "few words", "one word"])
+def test_passages_inside_sentences_are_removed_at_any_offset(spark, kind):
+    passage = {"prose": fixtures.prose(90, 51).replace(".", ""), "tabs": fixtures.prose(91, 51).replace(".", "").replace(" ", "\t"),
+               "few words": " ".join("ab cd ef".split()[i * i % 7 % 3] for i in range(51)), "one word": "and " * 50 + "and"}[kind]
+    gap = "\t" if kind == "tabs" else " "
+    texts = []
+    for i in range(30):
+        before, after = (fixtures.prose(900 + 2 * i + k, 40).replace(".", "").split() for k in (0, 1))
+        texts.append(gap.join([*before[:i], passage, *after[:30 - i]]) + ". " + fixtures.prose(990 + i, 12))
+    found = {r.doc_id: r.text for r in spans.remove_repeats(fixtures.documents(spark, texts)).collect()}
+    assert found[0] == texts[0] or kind in ("few words", "one word")
+    for i in range(1, 30):
+        kept = len(found[i].split()) - (len(texts[i].split()) - 51)
+        assert kept <= 2 * spans.CUT_WINDOW, (i, found[i])
+
+
 def test_repeats_of_awkward_rows(spark):
     docs = fixtures.awkward(spark)
     found = spans.remove_repeats(docs)
