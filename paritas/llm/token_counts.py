@@ -17,7 +17,8 @@ _COUNTS = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_tokens": pa.int64()}
 
 
 def _counter(path: str, whole) -> TokenCounter:
-    return resident(("counter", path, id(whole)), lambda: TokenCounter(path, whole.value))
+    """The whole tokens follow from the path alone, so a worker that is used again keeps its counter."""
+    return resident(("counter", path), lambda: TokenCounter(path, whole.value))
 
 
 def _count_function(docs: DataFrame, vocabulary: str):

@@ -7,6 +7,7 @@ segments of a text, and extreme-value statistics turn their scores into a docume
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -23,8 +24,11 @@ PRIOR = 0.01
 CAUTION = 1.0
 #: What a token without evidence costs a segment.
 DRIFT = 0.08
-#: Most tokens of a model; the strongest stay. Bounds what is sent to the executors.
-MAX_TOKENS = 100_000
+#: Most labelled ids to learn from, those of the least hashes. Bounds what is sent to the executors to find their
+#: texts; all texts are scored, in full.
+TRAINING_TEXTS = 40_000
+#: A word is charged anew once it comes so many words behind its last charge.
+REPEAT_WORDS = 200
 #: Lengths of the word beginnings that count as tokens beside the word itself.
 BEGINNINGS = (8, 7, 6, 5, 4, 3)
 #: Expected number of chance segments in a text below which a passage is significant.
@@ -44,18 +48,22 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the texts to learn from: labelled, not held out, equal texts once."""
+def training_rows(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id, text_hash, text, toxic of the texts to learn from: labelled, not held out, equal texts once.
+
+    At most ``most`` (``TRAINING_TEXTS``) labelled ids are used, so their list may be broadcast and no text moves
+    before it is known to be one of them. An id on rows with different texts labels each of these; a label
+    above zero is toxic.
+    """
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
              .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-             .agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
-    ids = (docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_hash"))
-           .join(known, "doc_id")
-           .groupBy("_hash").agg(F.min(F.struct("doc_id", "toxic")).alias("_first"))
-           .select("_first.doc_id", "_first.toxic"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(ids, "doc_id")
+             .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_TEXTS if most is None else most))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return (texts.join(F.broadcast(known), "doc_id").groupBy("text_hash")
+            .agg(F.min(F.struct("doc_id", "toxic", "text")).alias("_first"))
+            .select("_first.doc_id", "text_hash", "_first.text", "_first.toxic"))
 
 
 _COUNTS = {"token": pa.string(), "toxic_count": pa.int64(), "clean_count": pa.int64()}
@@ -82,7 +90,7 @@ def token_counts(training: DataFrame) -> DataFrame:
         yield batch(_COUNTS, token=tokens, toxic_count=[toxic[t] for t in tokens],
                     clean_count=[clean[t] for t in tokens])
 
-    partial = map_batches(training.select("text", F.least("toxic", F.lit(1)).alias("toxic")), run,
+    partial = map_batches(training.select("text", "toxic"), run,
                           "token string, toxic_count long, clean_count long")
     return partial.groupBy("token").agg(F.sum("toxic_count").alias("toxic_count"),
                                         F.sum("clean_count").alias("clean_count"))
@@ -109,8 +117,9 @@ class Scorer:
         self._words: dict[str, float] = {}
 
     def scores(self, texts: list[str]) -> list[np.ndarray]:
-        """Score of each word of each text: that of its most certain token, less the drift. As in the
-        counts a text is charged for a word once, so that mere repetition is no evidence."""
+        """Score of each word of each text: that of its most certain token, less the drift. A word speaks
+        for toxicity once within ``REPEAT_WORDS`` words, so that mere repetition is no evidence and a
+        later passage of the same words is found all the same."""
         words = [WORD.findall(t.lower()) for t in texts]
         seen = set().union(*words)
         if len(self._words) + len(seen) > CACHE_WORDS:
@@ -119,15 +128,16 @@ class Scorer:
         for word in seen.difference(self._words):
             found = [model[t] for t in core_tokens(word.strip(_EDGES)) if t in model]
             self._words[word] = max(found, key=lambda f: f[1])[0] - DRIFT if found else -DRIFT
-        return [self._once(w) for w in words]
+        return [self._damped(w) for w in words]
 
-    def _once(self, words: list[str]) -> np.ndarray:
+    def _damped(self, words: list[str]) -> np.ndarray:
         scores = np.fromiter(map(self._words.__getitem__, words), dtype=np.float64, count=len(words))
-        seen = set()
+        charged: dict[str, int] = {}
         for i in np.flatnonzero(scores > 0).tolist():
-            if words[i] in seen:
+            if i - charged.get(words[i], -REPEAT_WORDS) < REPEAT_WORDS:
                 scores[i] = -DRIFT
-            seen.add(words[i])
+            else:
+                charged[words[i]] = i
         return scores
 
 
@@ -155,7 +165,10 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def _scorer(model) -> Scorer:
-    return resident(("scorer", id(model)), lambda: Scorer(model.value))
+    """The scorer of a broadcast (name, scores); a worker keeps it under a name made for that model alone, since
+    workers are used again and the address of a broadcast may be, too."""
+    name, scores = model.value
+    return resident(("scorer", name), lambda: Scorer(scores))
 
 
 def score_histogram(training: DataFrame, model) -> dict[float, int]:
@@ -266,12 +279,12 @@ def logistic_fit(cells: list[tuple[float, int, int]]) -> tuple[float, float]:
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score of every whole text of ``docs`` (doc_id, text; other columns are ignored).
 
-    Learns from the rows of ``labels`` (doc_id, toxic) that are not held out, every one of them, equal
-    texts once. Returns one row per input row: doc_id, held_out, score (0 to 1), predicted (score of
+    Learns from the rows of ``labels`` (doc_id, toxic) that are not held out, equal texts once, of at
+    most ``TRAINING_TEXTS`` ids. Returns one row per input row: doc_id, held_out, score (0 to 1), predicted (score of
     at least 0.5), n_words, evidence, the significant passages and a hash of the text. Null and empty texts have no
     passages and get the score of least evidence; a null doc_id is not held out. Without any labels of
-    one kind no token has a score. To the driver come the model (at most
-    ``MAX_TOKENS`` tokens), score and evidence histograms on fixed grids.
+    one kind no token has a score. To the driver come the model (the tokens of the texts learned from whose
+    log-odds exceed their deviation), score and evidence histograms on fixed grids.
     """
     spark = docs.sparkSession
     training = settled(training_rows(docs, labels), "toxicity-training")
@@ -279,16 +292,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     words = counts.where("token = ''").first()
     scores = {}
     if words and words.toxic_count and words.clean_count:
-        strongest = (log_odds(counts, words.toxic_count, words.clean_count)
-                     .orderBy(F.abs("score").desc(), "token").limit(MAX_TOKENS))
-        scores = {r.token: (r.score, r.certainty) for r in strongest.collect()}
-    model = spark.sparkContext.broadcast(scores)
+        scores = {r.token: (r.score, r.certainty)
+                  for r in log_odds(counts, words.toxic_count, words.clean_count).collect()}
+    model = spark.sparkContext.broadcast((uuid.uuid4().hex, scores))
     decay = decay_rate(score_histogram(training, model))
     found = settled(find_passages(docs, model, decay), "toxicity-passages")
-    cells = (
-        found.join(training.select("doc_id", "toxic"), "doc_id")
-        .groupBy(_grid(F.col("evidence")).alias("cell"))
-        .agg(F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") > 0).alias("n1")).collect())
+    learned = found.select("doc_id", "text_hash", "evidence").join(
+        training.select("doc_id", "text_hash", "toxic"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    cells = learned.groupBy(_grid(F.col("evidence")).alias("cell")).agg(
+        F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") > 0).alias("n1")).collect()
     a, b = logistic_fit([(c.cell * EVIDENCE_STEP, c.n0, c.n1) for c in cells])
     score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * _bounded(F.col("evidence")))))
     return found.select(

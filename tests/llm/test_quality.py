@@ -179,6 +179,42 @@ def test_planted_toxic_texts_are_found(spark):
     assert again == {r.doc_id: r.score for r in found}, "labels of held-out rows must not matter"
 
 
+def test_models_of_one_session_are_kept_apart(spark):
+    docs, labels = planted_toxicity(spark, 60)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").coalesce(1)
+    for n in range(12):  # a worker that is used again must not keep the scores of a broadcast that is gone
+        model = spark.sparkContext.broadcast((f"model-{n}", {"vilething1": (1.0 + n, 5.0)}))
+        rows = toxicity.find_passages(texts, model, 1.0).where("doc_id = 5").collect()
+        best = max(toxicity.maximal_segments(toxicity.Scorer(model.value[1]).scores(
+            [texts.where("doc_id = 5").first().text])[0]), key=lambda s: s[2])[2]
+        assert best == pytest.approx(1 + n - toxicity.DRIFT)
+        assert rows[0].evidence == pytest.approx(best - np.log(rows[0].n_words))
+    opposite = labels.withColumn("toxic", 1 - F.col("toxic"))
+    first = toxicity.toxicity_scores(docs, labels).where("predicted = 1").count()
+    toxicity.toxicity_scores(docs, opposite).collect()
+    assert toxicity.toxicity_scores(docs, labels).where("predicted = 1").count() == first == 12
+
+
+def test_training_rows_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(40)] * 2 + [(3, "text 0"), (4, None), (5, "held")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (4, -1), (9, 1)], "doc_id long, toxic int")
+    labels = labels.where(~toxicity.held_out())
+    rows = toxicity.training_rows(docs, labels).collect()
+    known = {r.doc_id for r in labels.collect()}
+    expected = {t for i, t in [(1, f"text {i}") for i in range(40)] + [(3, "text 0"), (4, "")] if i in known}
+    assert sorted(r.text for r in rows) == sorted(expected)
+    assert all(r.toxic == (1 if r.doc_id == 1 else 0) for r in rows)
+    assert {r.doc_id for r in toxicity.training_rows(docs, labels, most=1).collect()} < known
+
+
+def test_a_later_passage_of_the_same_words_is_found():
+    scorer = toxicity.Scorer({"vile": (3.0, 9.0), "awful": (3.0, 9.0)})
+    passage, filler = ["vile", "awful", "vile"], ["plain"] * (2 * toxicity.REPEAT_WORDS)
+    scores, = scorer.scores([" ".join(passage + filler + passage)])
+    assert [(b, e) for b, e, _ in toxicity.maximal_segments(scores)] == [(0, 2), (len(filler) + 3, len(filler) + 5)]
+
+
 def test_toxicity_of_awkward_rows(spark):
     _, labels = planted_toxicity(spark)
     docs = fixtures.awkward(spark)
