@@ -1,177 +1,41 @@
 """Groups of near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share one of ``BANDS`` keys of ``BAND_ROWS`` min-hashes each. A pair of similarity 0.8 shares
-none with probability (1 - 0.8^5)^40 = 1.2e-7. Candidates are linked only if the similarity counted from
-the texts themselves reaches the limit.
+SimHash fingerprints of the shingles, linked by the binary trie join, name the first candidates, which are most of
+what a large group of copies holds. Fingerprints of 64 bits miss pairs near the limit, so what they leave apart
+goes through the exact similarity join. Every link is counted from the texts.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_batches, settled
-from .components import connected_components
-from .tokens import slices
+from .common import settled
+from .jaccard_join import similar_groups
+from .simhash_trie import divided, links, roots
 
 SHINGLE_WORDS = 5
 #: The least similarity as a fraction of whole numbers, so that it is compared exactly.
 LEAST = (4, 5)
-BANDS, BAND_ROWS = 40, 5
-HASH_SEED = 42
-#: So many times each candidate is held against one node of each of its bands before all pairs are.
-TURNS = 2
-#: Longs of the bitmap of a set. Bitmaps differ in no more bits than the sets in members, so a pair that
-#: differs in too many is none.
-BITMAP_LONGS = 8
 
-_ODD = np.random.default_rng(HASH_SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SIGNATURES = {"doc_id": pa.int64(), "text_hash": pa.int64(), "node": pa.int64(), "size": pa.int64(),
-               "bits": pa.list_(pa.int64()), "bands": pa.list_(pa.int64())}
-_PAIRS = {"u": pa.int64(), "v": pa.int64()}
 
-
-def shingles(text: str | None) -> list[bytes]:
-    """The runs of five words of ``text`` in lower case; a shorter text is one run, one without words none."""
-    joined = " ".join((text or "").lower().split()).encode()
-    words = joined.split(b" ") if joined else []
-    ends, end = [], -1
-    for word in words:
-        end += len(word) + 1
-        ends.append(end)
-    if len(ends) <= SHINGLE_WORDS:
-        return [joined] if words else []
-    starts = [0, *(e + 1 for e in ends)]
-    return [joined[a:b] for a, b in zip(starts, ends[SHINGLE_WORDS - 1:])]
-
-
-def similar(a: set[bytes], b: set[bytes]) -> bool:
-    """Whether the Jaccard similarity of two sets is at least ``LEAST``."""
-    both = len(a & b)
-    return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
-
-
-def _signatures_of(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """Digest, size and bitmap of each text's set of shingles, and its bands; a text without words has zeros."""
-    digest = xxhash.xxh64_intdigest
-    sets = [np.unique(np.array([digest(s, HASH_SEED) for s in shingles(t)], dtype=np.uint64)) for t in texts]
-    nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], dtype=np.uint64)
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    bits = np.zeros((len(texts), 64 * BITMAP_LONGS), dtype=bool)
-    for row, members in zip(bits, sets):
-        row[members % np.uint64(bits.shape[1])] = True
-    bands = np.zeros((len(texts), BANDS), dtype=np.uint64)
-    full = np.flatnonzero(sizes)
-    if len(full):
-        hashes = np.concatenate(sets)
-        begins = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-        for k, (odd, weight) in enumerate(zip(*_ODD)):
-            least = np.minimum.reduceat(hashes * odd, begins)
-            bands[full, k // BAND_ROWS] += (least ^ (least >> np.uint64(29))) * weight
-        bands ^= bands >> np.uint64(32)
-    return nodes.view(np.int64), sizes, np.packbits(bits, axis=1).view(np.int64), bands.view(np.int64)
-
-
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node (a digest of the set of shingles), size and bitmap of the set, and bands of every
-    row."""
-
-    def lists(values: np.ndarray) -> pa.ListArray:
-        ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
-        return pa.ListArray.from_arrays(ends, pa.array(values.reshape(-1)))
-
-    def run(rows: pa.RecordBatch):
-        found = [_signatures_of(t) for t in slices(rows.column("text").to_pylist())]
-        nodes, sizes, bits, bands = (np.concatenate(x) for x in zip(*found))
-        yield batch(_SIGNATURES, doc_id=rows.column("doc_id"), text_hash=rows.column("text_hash"), node=nodes,
-                    size=sizes, bits=lists(bits), bands=lists(bands))
-
-    return map_batches(docs.select("doc_id", "text_hash", "text"), run,
-                       "doc_id long, text_hash long, node long, size long, bits array<long>, bands array<long>")
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows (u, v) of ``pairs`` whose texts are similar."""
-    one = texts.select(F.col("node").alias("u"), F.col("text").alias("_a"))
-    other = texts.select(F.col("node").alias("v"), F.col("text").alias("_b"))
-
-    def run(batches):
-        held: dict[str, tuple[int, set[bytes]]] = {}
-
-        def set_of(side: str, node: int, column, i: int) -> set[bytes]:
-            if side not in held or held[side][0] != node:
-                held[side] = node, set(shingles(column[i].as_py()))
-            return held[side][1]
-
-        for rows in batches:
-            u, v = rows.column("u").to_pylist(), rows.column("v").to_pylist()
-            a, b = rows.column("_a"), rows.column("_b")
-            close = [i for i in range(len(u)) if similar(set_of("u", u[i], a, i), set_of("v", v[i], b, i))]
-            yield batch(_PAIRS, u=[u[i] for i in close], v=[v[i] for i in close])
-
-    return pairs.select("u", "v").join(one, "u").join(other, "v").mapInArrow(run, "u long, v long")
-
-
-def _pairs(named: DataFrame, turn: int | None) -> DataFrame:
-    """Candidate pairs of different components, with those (cu, cv): each node of a band with one that
-    the band and ``turn`` choose, or all pairs of a band if turn is None."""
-    rank = F.lit(0) if turn == 0 else F.xxhash64("node", "band", F.lit(turn))
-    open_bands = named.groupBy("band").agg(
-        F.min("component").alias("_low"), F.max("component").alias("_high"),
-        F.min(F.struct(rank.alias("rank"), "node", "size", "bits", "component")).alias("end")).where("_low <> _high")
-    if turn is None:
-        left = named.join(open_bands.select("band"), "band", "left_semi")
-        right = left.select("band", F.struct("node", "size", "bits", "component").alias("end"))
-        joined = left.join(right, "band").where(F.col("component") < F.col("end.component"))
-    else:
-        joined = named.join(open_bands.select("band", "end"), "band").where(
-            F.col("component") != F.col("end.component"))
-    fits = LEAST[1] * F.least("size", "end.size") >= LEAST[0] * F.greatest("size", "end.size")
-    differ = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("end.bits")[i])) for i in range(BITMAP_LONGS))
-    fits &= (LEAST[0] + LEAST[1]) * differ <= (LEAST[1] - LEAST[0]) * (F.col("size") + F.col("end.size"))
-    own, end = F.struct("node", "component"), F.struct("end.node", "end.component")
-    ordered = joined.where(fits).select(F.least(own, end).alias("a"), F.greatest(own, end).alias("b"))
-    return ordered.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.component").alias("cu"),
-                          F.col("b.component").alias("cv")).distinct()
+def simhash_candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ``nodes`` (node, fingerprint): each node with one of its fingerprint, and fingerprints that the trie links."""
+    ends = settled(nodes.groupBy("fingerprint").agg(F.min("node").alias("end")), "fingerprint-ends")
+    alike = nodes.select("node", "fingerprint").join(ends, "fingerprint").where("node <> end").select(
+        F.col("node").alias("u"), F.col("end").alias("v"))
+    linked = settled(links(divided(roots(ends.select("fingerprint")))), "fingerprint-links")
+    named = [ends.select(F.col("fingerprint").alias(side), F.col("end").alias(f"end_{side}")) for side in ("u", "v")]
+    close = linked.join(named[0], "u").join(named[1], "v").select(F.col("end_u").alias("u"), F.col("end_v").alias("v"))
+    return alike.union(close)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """The group of every row of ``docs`` (doc_id, text): doc_id, text_hash (xxhash64), component.
 
     Groups are what links of a similarity of at least ``LEAST`` connect. Texts with the same set of
-    shingles are one node; null, empty and blank texts are alike. Candidates are first held against one
-    node of each of their bands, then the pairs of a band that are still apart against each other, so that a
-    large group of close copies is linked by few comparisons and no candidate pair is left out.
+    shingles are one node; null, empty and blank texts are alike. Repeated rows and rows without an id are in the
+    group of their text.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
-                       F.col("text").cast("string").alias("text"))
-    prints = settled(signatures(docs), "signatures")
-    nodes = settled(prints.where("size > 0").select("node", "size", "bits", "bands").dropDuplicates(["node"]), "nodes")
-    spread = nodes.select(F.explode("bands").alias("band"), "node", "size", "bits")
-    shared = settled(spread.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-                     .where("a <> b").select("band"), "shared-bands")
-    bands = settled(spread.join(shared, "band", "left_semi"), "bands")
-    labels = settled(bands.select("node", F.col("node").alias("component")).distinct(), "labels")
-    first = prints.join(labels.select("node"), "node", "left_semi").groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("_first")).select("node", "_first.*")
-    texts = settled(docs.join(first, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
-    tested = None
-    for turn in (*range(TURNS), None):
-        pairs = _pairs(bands.join(labels, "node"), turn)
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = settled(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        close = settled(verified(pairs, texts), "links")
-        linked = pairs.join(close, ["u", "v"]).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-        moved = connected_components(linked).select(F.col("node").alias("component"), F.col("component").alias("_to"))
-        labels = settled(labels.join(moved, "component", "left").select(
-            "node", F.coalesce("_to", "component").alias("component")), "labels")
-        done = pairs.select("u", "v")
-        tested = done if tested is None else tested.union(done)
-    return prints.select("doc_id", "text_hash", "node").join(labels, "node", "left").select(
-        "doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
+    found = similar_groups(docs, SHINGLE_WORDS, LEAST, prints=True, first_pairs=simhash_candidates)
+    return found.select("doc_id", "text_hash", F.coalesce("component", F.lit(0).cast("long")).alias("component"))
