@@ -27,13 +27,14 @@ CLASS_RATIO = 1.5
 BITMAP_LONGS = 8
 #: Members of a set that are counted in one fragment, about.
 COUNTED = 2048
-#: So often each candidate is held against one set of each of its segments before sets still apart meet each other.
-TURNS = 2
+#: So many sets of each key are held against all others of the key before sets still apart meet each other.
+HUBS = 2
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _SETS = {"doc_id": pa.int64(), "text_hash": pa.int64(), "node": pa.int64(), "size": pa.int64(),
-         "fingerprint": pa.int64(), "bits": pa.list_(pa.int64()), "keys": pa.list_(pa.int64())}
-_SET_SCHEMA = ("doc_id long, text_hash long, node long, size long, fingerprint long, bits array<long>, keys array<long>")
+         "fingerprint": pa.int64(), "bits": pa.list_(pa.int64()), "keys": pa.list_(pa.int64()), "need": pa.int32()}
+_SET_SCHEMA = ("doc_id long, text_hash long, node long, size long, fingerprint long, bits array<long>, keys array<long>, "
+               "need int")
 _SEGMENTS = {"node": pa.int64(), "level": pa.int32(), "part": pa.int32(), "grams": pa.binary()}
 _COUNTS = {"u": pa.int64(), "v": pa.int64(), "both": pa.int64()}
 
@@ -61,13 +62,13 @@ def most_different(sizes: int, least: tuple[int, int]) -> int:
 
 
 @lru_cache(maxsize=4)
-def classes(least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First size, fragments, and most differing members of each size class up to 2^31 members."""
+def classes(least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """First size and number of fragments of each size class up to 2^31 members."""
     starts = [1]
     while starts[-1] < 1 << 31:
         starts.append(max(starts[-1] + 1, int(starts[-1] * CLASS_RATIO)))
     differ = [most_different(2 * (b - 1), least) for b in starts[1:]]
-    return np.array(starts), np.array([d + 2 + d // 8 for d in differ]), np.array(differ)
+    return np.array(starts), np.array([d + 2 + d // 8 for d in differ])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -75,29 +76,56 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * _MIX[1]
 
 
-def segment_keys(sets: list[np.ndarray], kind: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the set, key) of the segments of each sorted, non-empty set under the class ``kind``.
+def segment_keys(sets: list[np.ndarray], kind: np.ndarray, least: tuple[int, int]) -> tuple[list[np.ndarray], list[int]]:
+    """Keys of the segments of each sorted, non-empty set under the class ``kind``, and how many of its keys it shares
+    with every similar set.
 
-    Similar sets agree in at least fragments - differing members segments. If not even that many of a set's
-    segments could be non-empty, its empty ones are keys as well; two similar sets that agree only in empty
-    segments both have so few.
+    A set may differ from a similar one in at most d members, hence in as many fragments. Its keys are those of its first
+    d + 1 + spare non-empty segments; at least 1 + spare of the set whose keys end earlier agree with the other's. A
+    set with too few non-empty segments has all of them and its empty ones as keys; two similar sets that agree in empty
+    segments only both are of this sort.
     """
-    fragments, differ = (c[kind] for c in classes(least)[1:])
+    starts, fragments = classes(least)
+    fragments = fragments[kind]
     sizes = np.array([len(s) for s in sets])
+    partner = np.minimum(sizes * least[1] // least[0], starts[kind + 1] - 1)
+    differ = most_different(sizes + np.maximum(partner, sizes), least)
+    smallest = most_different(2 * -(-sizes * least[0] // least[1]), least)  # what its smallest similar set allows for, at least
     owner = np.repeat(np.arange(len(sets)), sizes)
     grams = np.concatenate(sets)
     piece = ((grams >> np.uint64(32)) * fragments[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
     begins = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (piece[1:] != piece[:-1])]))
     sums = np.add.reduceat(_mixed(grams), begins)
     owners, pieces = owner[begins], piece[begins]
-    full = np.bincount(owners, minlength=len(sets))
-    for i in np.flatnonzero(full <= differ).tolist():
-        empty = np.setdiff1d(np.arange(fragments[i]), pieces[owners == i])
-        owners = np.concatenate([owners, np.full(len(empty), i)])
-        pieces = np.concatenate([pieces, empty])
-        sums = np.concatenate([sums, np.zeros(len(empty), dtype=np.uint64)])
-    place = pieces.astype(np.uint64) * _MIX[2] + kind[owners].astype(np.uint64)
-    return owners, _mixed(sums ^ _mixed(place))
+    keys = _mixed(sums ^ _mixed(pieces.astype(np.uint64) * _MIX[2] + kind[owners].astype(np.uint64)))
+    parts, need = np.split(keys, np.flatnonzero(np.diff(owners)) + 1), []
+    for i, d in enumerate(differ.tolist()):
+        spare = min(1 + d // 8, len(parts[i]) - d - 1)
+        if spare < 0:
+            empty = np.setdiff1d(np.arange(fragments[i]), pieces[owners == i]).astype(np.uint64)
+            parts[i] = np.concatenate([parts[i], _mixed(_mixed(empty * _MIX[2] + np.uint64(kind[i])))])
+            need.append(1)
+        else:
+            parts[i] = parts[i][:d + 1 + spare]
+            need.append(1 + min(spare, 1 + int(smallest[i]) // 8))
+    return parts, need
+
+
+#: Bands of min-hashes as keys instead of segments: fewer keys of a long set, and a pair of similarity s shares none
+#: with probability (1 - s^BAND_ROWS)^BANDS, 1.2e-7 at 0.8.
+BANDS, BAND_ROWS = 40, 5
+_ODD = np.random.default_rng(HASH_SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """The bands of each non-empty set."""
+    bands = np.zeros((len(sets), BANDS), dtype=np.uint64)
+    hashes = np.concatenate(sets)
+    begins = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    for k, (odd, weight) in enumerate(zip(*_ODD)):
+        smallest = np.minimum.reduceat(hashes * odd, begins)
+        bands[:, k // BAND_ROWS] += (smallest ^ (smallest >> np.uint64(29))) * weight
+    return _mixed(bands + np.arange(BANDS, dtype=np.uint64)[None, :])
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -121,44 +149,48 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows).view(np.int64)))
 
 
-def _describe(texts: list[str], words: int, least: tuple[int, int], prints: bool):
-    """node, size, fingerprint, bitmap and keys of each text."""
+def _describe(texts: list[str], words: int, least: tuple[int, int], bands: bool):
+    """node, size, fingerprint, bitmap, keys and need of each text."""
     none = np.zeros(0, dtype=np.uint64)
     hashes = [gram_hashes(t, words) for t in texts]
     sets = [np.unique(h) for h in hashes]
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    bits, keys = [none] * len(sets), [none] * len(sets)
+    bits, keys, need = [none] * len(sets), [none] * len(sets), [1] * len(sets)
     starts = classes(least)[0]
     partner = sizes * least[1] // least[0]  # the largest similar set
     usable = np.flatnonzero((sizes > 0) & ((sizes + np.maximum(partner, 1)) * (least[1] - least[0]) >= least[1] + least[0]))
     if len(usable):
         for i, row in zip(usable.tolist(), _bitmaps([sets[i] for i in usable])):
             bits[i] = row.view(np.uint64)
-        own, last = (np.searchsorted(starts, x, "right") - 1 for x in (sizes, partner))
-        for step in range(int((last - own).max()) + 1):
-            chosen = usable[(own + step <= last)[usable]]
-            if len(chosen):
-                owners, found = segment_keys([sets[i] for i in chosen], (own + step)[chosen], least)
-                order = np.argsort(owners, kind="stable")
-                parts = np.split(found[order], np.cumsum(np.bincount(owners, minlength=len(chosen)))[:-1])
-                for i, part in zip(chosen.tolist(), parts):
-                    keys[i] = np.concatenate([keys[i], part])
+        if bands:
+            for i, row in zip(usable.tolist(), band_keys([sets[i] for i in usable])):
+                keys[i] = row
+        else:
+            own, last = (np.searchsorted(starts, x, "right") - 1 for x in (sizes, partner))
+            for step in range(int((last - own).max()) + 1):
+                chosen = usable[(own + step <= last)[usable]]
+                if len(chosen):
+                    parts, wanted = segment_keys([sets[i] for i in chosen], (own + step)[chosen], least)
+                    for i, part, n in zip(chosen.tolist(), parts, wanted):
+                        need[i] = min(need[i], n) if len(keys[i]) else n
+                        keys[i] = np.concatenate([keys[i], part])
     nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets]
     return (np.array(nodes, dtype=np.uint64).view(np.int64), sizes,
-            [fingerprint(h) if prints else 0 for h in hashes], bits, keys)
+            [fingerprint(h) if bands else 0 for h in hashes], bits, keys, need)
 
 
-def gram_sets(docs: DataFrame, words: int, least: tuple[int, int], prints: bool = False) -> DataFrame:
-    """Of every row of ``docs`` (doc_id, text_hash, text): the digest ``node`` and the size of its set, its SimHash
-    fingerprint if ``prints``, and the bitmap and segment keys of a set that can have similar ones."""
+def gram_sets(docs: DataFrame, words: int, least: tuple[int, int], bands: bool = False) -> DataFrame:
+    """Of every row of ``docs`` (doc_id, text_hash, text): the digest ``node`` and the size of its set, and the bitmap
+    and keys of a set that can have similar ones, with the number of keys it needs to share. With ``bands`` keys are
+    bands of min-hashes, and there is a SimHash fingerprint."""
 
     def run(rows: pa.RecordBatch):
         at = 0
         for texts in slices(rows.column("text").to_pylist()):
             part = rows.slice(at, len(texts))
-            node, size, prints_of, bits, keys = _describe(texts, words, least, prints)
+            node, size, prints_of, bits, keys, need = _describe(texts, words, least, bands)
             yield batch(_SETS, doc_id=part.column("doc_id"), text_hash=part.column("text_hash"), node=node, size=size,
-                        fingerprint=prints_of, bits=_lists(bits), keys=_lists(keys))
+                        fingerprint=prints_of, bits=_lists(bits), keys=_lists(keys), need=need)
             at += len(texts)
 
     return map_batches(docs.select("doc_id", "text_hash", "text"), run, _SET_SCHEMA)
@@ -228,14 +260,13 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def hub_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Each set with one that its segment and ``turn`` choose, where they are in different components."""
-    rank = F.lit(0) if turn == 0 else F.xxhash64("node", "key", F.lit(turn))
-    hubs = members.groupBy("key").agg(
-        F.min("component").alias("_low"), F.max("component").alias("_high"),
-        F.min(F.struct(rank.alias("rank"), "node", "component")).alias("hub")).where("_low <> _high").select("key", "hub")
-    joined = members.join(hubs, "key").where(F.col("component") != F.col("hub.component"))
-    return joined.select(F.col("node").alias("_a"), F.col("hub.node").alias("_b")).select(*_ordered("_a", "_b")).distinct()
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """Each set with ``HUBS`` sets of each of its keys: the least by number, which keys of one group share, and others
+    that the key chooses."""
+    ranks = [F.min("node"), *(F.min_by("node", F.xxhash64("node", "key", F.lit(i))) for i in range(1, HUBS))]
+    hubs = members.groupBy("key").agg(F.array_distinct(F.array(*ranks)).alias("hubs"))
+    joined = members.join(hubs, "key").select("node", F.explode("hubs").alias("hub")).where("node <> hub")
+    return joined.select(*_ordered("node", "hub")).distinct()
 
 
 def remaining_pairs(members: DataFrame, nodes: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -253,61 +284,57 @@ def remaining_pairs(members: DataFrame, nodes: DataFrame, least: tuple[int, int]
     return joined.select(*_ordered("node", "_node")).distinct()
 
 
-def similar_groups(docs: DataFrame, words: int, least: tuple[int, int], prints: bool = False, first_pairs=None) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int, least: tuple[int, int], bands: bool = False, more_pairs=None) -> DataFrame:
     """doc_id, text_hash, n_shingles and component (a number; null for an empty set) of every row of ``docs``.
 
     Rows share a component if links of a Jaccard similarity of at least ``least[0] / least[1]`` connect their
-    texts. Equal sets are one node. ``first_pairs`` may name pairs (u, v of nodes) to try before, given the sets.
-    Candidates are held against one member of each of their segments first, so that a large group of copies
-    is joined by few comparisons; what is still apart is compared with all that shares a segment with it.
+    texts. Equal sets are one node. ``more_pairs`` may name further pairs (u, v) of nodes (node, fingerprint).
+    Candidates are held against ``HUBS`` members of each of their keys first, so that a large group of copies
+    is joined by few comparisons; what is still apart is compared with all that shares a key with it.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
                        F.col("text").cast("string").alias("text"))
-    sets = settled(gram_sets(docs, words, least, prints), "gram-sets")
-    nodes = settled(sets.where(F.size("keys") > 0).select("node", "size", "bits", "keys", "fingerprint")
+    sets = settled(gram_sets(docs, words, least, bands), "gram-sets")
+    nodes = settled(sets.where(F.size("keys") > 0).select("node", "size", "bits", "fingerprint", "need")
                     .dropDuplicates(["node"]), "nodes")
-    keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = settled(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-                     .where("a <> b").select("key"), "shared-segments")
-    members = settled(keyed.join(shared, "key", "left_semi"), "segment-members")
-    wanted = members.select("node")
-    early = None
-    if first_pairs is not None:
-        early = settled(fitting_pairs(first_pairs(nodes).select(*_ordered("u", "v")).distinct(), nodes, least), "first-pairs")
-        wanted = wanted.union(early.select("u")).union(early.select("v"))
-    labels = settled(wanted.distinct().select("node", F.col("node").alias("component")), "labels")
+    keyed = sets.select(F.explode("keys").alias("key"), "node")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = settled(keyed.join(settled(shared, "shared-keys"), "key", "left_semi").distinct(), "key-members")
+    # keys of one node's copies are not shared, and a node that shares too few keys has no similar one
+    shared = settled(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
+    members = members.join(shared, "key", "left_semi")
+    enough = members.groupBy("node").agg(F.count("*").alias("n")).join(nodes.select("node", "need"), "node").where("n >= need")
+    members = settled(members.join(enough.select("node"), "node", "left_semi"), "key-members")
+    pairs = hub_pairs(members)
+    if more_pairs is not None:
+        pairs = pairs.union(more_pairs(nodes.select("node", "fingerprint")).select(*_ordered("u", "v"))).distinct()
+    pairs = settled(fitting_pairs(pairs, nodes, least), "pairs")
+    wanted = members.select("node").union(pairs.select("u")).union(pairs.select("v")).distinct()
+    labels = settled(wanted.select("node", F.col("node").alias("component")), "labels")
     first = (sets.join(labels.select("node"), "node", "left_semi").groupBy("node")
              .agg(F.min(F.struct("doc_id", "text_hash")).alias("_first"))
              .select("node", F.col("_first.doc_id").alias("_id"), F.col("_first.text_hash").alias("_hash")))
     texts = docs.join(first, docs.doc_id.eqNullSafe(F.col("_id")) & (docs.text_hash == F.col("_hash")))
     segments = settled(counted_segments(texts, words, least).dropDuplicates(["node", "level", "part"]), "counted-segments")
-    tested = None
-    for turn in (*([] if early is None else [-1]), *range(TURNS), None):
-        named = members.join(labels, "node")
-        if turn == -1:
-            pairs = early
-        elif turn is None:
-            pairs = fitting_pairs(remaining_pairs(named, nodes, least), nodes, least)
-        else:
-            pairs = fitting_pairs(hub_pairs(named, turn), nodes, least)
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = settled(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        close = settled(similar_pairs(pairs, segments, least), "links")
-        own = [labels.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in ("u", "v")]
-        moved = connected_components(close.join(own[0], "u").join(own[1], "v").select(
-            F.col("cu").alias("u"), F.col("cv").alias("v")))
-        labels = settled(labels.join(moved.select(F.col("node").alias("component"), F.col("component").alias("_to")),
-                                     "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "labels")
-        done = pairs.select("u", "v")
-        tested = done if tested is None else tested.union(done)
+    labels = _joined(labels, pairs, segments, least)
+    left = fitting_pairs(remaining_pairs(members.join(labels, "node"), nodes, least), nodes, least)
+    left = settled(left.join(pairs, ["u", "v"], "left_anti"), "remaining-pairs")
+    if not left.isEmpty():
+        labels = _joined(labels, left, segments, least)
     found = sets.select("doc_id", "text_hash", "node", F.col("size").alias("n_shingles")).join(labels, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node"))
     return found.select("doc_id", "text_hash", "n_shingles", component.alias("component"))
 
 
+def _joined(labels: DataFrame, pairs: DataFrame, segments: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """``labels`` (node, component) with the components joined that similar ``pairs`` link."""
+    close = settled(similar_pairs(pairs, segments, least), "links")
+    own = [labels.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in ("u", "v")]
+    moved = connected_components(close.join(own[0], "u").join(own[1], "v").select(
+        F.col("cu").alias("u"), F.col("cv").alias("v"))).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    return settled(labels.join(moved, "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "labels")
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, least: tuple[int, int] = (85, 100)) -> DataFrame:
     """Set size and component of every row of ``docs`` (doc_id, text; other columns are ignored).
 

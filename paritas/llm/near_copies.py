@@ -1,8 +1,8 @@
 """Groups of near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash fingerprints of the shingles, linked by the binary trie join, name the first candidates, which are most of
-what a large group of copies holds. Fingerprints of 64 bits miss pairs near the limit, so what they leave apart
-goes through the exact similarity join. Every link is counted from the texts.
+SimHash fingerprints of the shingles, linked by the binary trie join, name candidates. Fingerprints of 64 bits miss
+most pairs near the limit, so bands of min-hashes name further ones; a pair of similarity 0.8 shares none with probability
+1.2e-7. Every link is counted from the texts by the similarity join.
 """
 
 from __future__ import annotations
@@ -37,5 +37,5 @@ def near_copies(docs: DataFrame) -> DataFrame:
     shingles are one node; null, empty and blank texts are alike. Repeated rows and rows without an id are in the
     group of their text.
     """
-    found = similar_groups(docs, SHINGLE_WORDS, LEAST, prints=True, first_pairs=simhash_candidates)
+    found = similar_groups(docs, SHINGLE_WORDS, LEAST, bands=True, more_pairs=simhash_candidates)
     return found.select("doc_id", "text_hash", F.coalesce("component", F.lit(0).cast("long")).alias("component"))
