@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import is_missing, stringify, typed
 
 # The 64 hexadecimal digits of a digest are added up in lanes. A lane of 16 digits stays below 2 * 10^19,
-# so that a sum of 10^18 rows fits into 38 decimal digits.
-_LANES, _LANE_DIGITS = 4, 16
+# so that a sum of 10^18 rows fits into 38 decimal digits. Its halves of 32 bits are added up as longs within
+# each partition, which holds for 2^31 rows of one.
+_LANES, _LANE_DIGITS, _HALF_DIGITS = 4, 16, 8
 
 
 def row_digest(df: DataFrame, columns: Sequence[str] | None = None, separator: str = "\x1f") -> Column:
@@ -39,10 +40,13 @@ def dataset_fingerprint(
     """
     names = list(columns or df.columns)
     digests = df.select(row_digest(df, names, separator).alias("_digest"))
-    lanes = [F.conv(F.substring("_digest", 1 + _LANE_DIGITS * i, _LANE_DIGITS), 16, 10).cast("decimal(20,0)")
-             for i in range(_LANES)]
-    sums = [F.coalesce(F.sum(lane), F.lit(0)).cast("decimal(38,0)").cast("string") for lane in lanes]
-    totals = digests.agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws(",", *sums).alias("digest_sum"))
+    halves = [F.conv(F.substring("_digest", 1 + _HALF_DIGITS * i, _HALF_DIGITS), 16, 10).cast("bigint")
+              for i in range(_LANES * _LANE_DIGITS // _HALF_DIGITS)]
+    parts = digests.groupBy(F.spark_partition_id().alias("_part")).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(half).alias(f"_half{i}") for i, half in enumerate(halves)])
+    whole = [F.coalesce(F.sum(F.col(f"_half{i}").cast("decimal(28,0)")), F.lit(0)).cast("decimal(38,0)") for i in range(len(halves))]
+    sums = [(high * F.lit(1 << 32) + low).cast("decimal(38,0)").cast("string") for high, low in zip(whole[::2], whole[1::2])]
+    totals = parts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.concat_ws(",", *sums).alias("digest_sum"))
     header = [F.lit(f"{len(name)}:{name}") for name in names]
     seed = F.concat_ws(separator, F.col("n_rows").cast("string"), F.lit(str(len(names))), *header, F.col("digest_sum"))
     return totals.select(
