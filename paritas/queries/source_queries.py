@@ -47,20 +47,31 @@ FROM part WHERE p_partkey % 50 NOT IN (0, 2, 3, 4)
 """
 
 
+_MARK_COUNTS = {",": "c_custkey % 5", ";": "(c_custkey + c_nationkey) % 7", "|": "(3 * c_custkey) % 6", "\t": "c_nationkey % 4"}
+
+
 def detect_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = table(spark, sf_dir, "customer")
-    root = scratch_path(spark, "delimiters")
-    names = {"comma": ",", "semicolon": ";", "pipe": "|", "tab": "\t"}
-    for name, mark in names.items():
-        sources.export_csv(customer, f"{root}/{name}", mark)
-    found = sources.detect_delimiters(spark, f"{root}/*")
-    folder = F.regexp_extract("file", r"/([a-z]+)/[^/]+$", 1)
-    return found.select(folder.alias("folder"), "delimiter").distinct()
-
-
-DELIMITER_SQL = """
-SELECT DISTINCT folder, delimiter FROM customer,
-  (VALUES ('comma', ','), ('semicolon', ';'), ('pipe', '|'), ('tab', chr(9))) AS f(folder, delimiter)
+    """One file per nation, whose customers decide how often each candidate stands in a line."""
+    marks = [F.repeat(F.lit(mark), F.expr(count).cast("int")) for mark, count in _MARK_COUNTS.items()]
+    lines = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.concat("c_name", *marks).alias("value"))
+    path = scratch_path(spark, "delimiters")
+    lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", "value").write.partitionBy(
+        "c_nationkey").text(path)
+    found = sources.detect_delimiters(spark, f"{path}/*")
+    nation = F.regexp_extract("file", r"c_nationkey=([0-9]+)/[^/]+$", 1).cast("int")
+    return found.select(nation.alias("nation"), "delimiter")
+
+
+DELIMITER_SQL = f"""
+WITH numbered AS (
+    SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS line FROM customer
+), counts AS (
+    SELECT c_nationkey, {", ".join(f"sum({count}) AS n{i}" for i, count in enumerate(_MARK_COUNTS.values()))}
+    FROM numbered WHERE line <= 5 GROUP BY c_nationkey
+)
+SELECT c_nationkey::INTEGER AS nation,
+       CASE greatest(n0, n1, n2, n3) WHEN n0 THEN ',' WHEN n1 THEN ';' WHEN n2 THEN '|' ELSE chr(9) END AS delimiter
+FROM counts
 """
 
 
@@ -71,8 +82,45 @@ def chunked_csv_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.read_csv(spark, path)
 
 
+def csv_parts_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three loads of orders with their columns in another order, of other types, or left out."""
+    orders = table(spark, sf_dir, "orders").withColumn("_part", F.col("o_orderkey") % 3)
+    root = scratch_path(spark, "parts")
+    part = [orders.where(F.col("_part") == i) for i in range(3)]
+    sources.export_csv(part[0].select("o_orderkey", "o_custkey", F.floor("o_totalprice").alias("o_totalprice"), "o_orderstatus"),
+                       f"{root}/whole")
+    sources.export_csv(part[1].select("o_totalprice", "o_orderstatus", "o_orderkey", F.concat(F.lit("c"), "o_custkey").alias(
+        "o_custkey")), f"{root}/texts")
+    sources.export_csv(part[2].select("o_custkey", "o_orderkey", "o_totalprice"), f"{root}/fewer")
+    return sources.read_parts(spark, f"{root}/*", delimiter=",")
+
+
+PARTS_SQL = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN 'c' ELSE '' END || o_custkey::VARCHAR AS o_custkey,
+       CASE WHEN o_orderkey % 3 = 0 THEN floor(o_totalprice) ELSE o_totalprice END::DOUBLE AS o_totalprice,
+       CASE WHEN o_orderkey % 3 <> 2 THEN o_orderstatus END AS o_orderstatus
+FROM orders
+"""
+
+
+def csv_quoted_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes with line breaks, quotes and lines that look like records, read by as many tasks as the files have splits."""
+    customer = table(spark, sf_dir, "customer")
+    lines = F.repeat(F.concat(F.lit('\n"x",'), F.col("c_nationkey").cast("string")), (F.col("c_custkey") % 4).cast("int"))
+    path = scratch_path(spark, "breaks")
+    sources.export_csv(customer.select("c_custkey", F.concat("c_name", lines).alias("note"), "c_nationkey"), path)
+    return sources.scan_csv(spark, path, delimiter=",", multiline="split")
+
+
+BREAKS_SQL = """
+SELECT c_custkey::VARCHAR AS c_custkey, c_name || repeat(chr(10) || '"x",' || c_nationkey::VARCHAR, (c_custkey % 4)::INTEGER) AS note,
+       c_nationkey::VARCHAR AS c_nationkey
+FROM customer
+"""
+
+
 def source_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of three loads: a fitting one, one of the wrong type, one beyond a small limit."""
+    """Files of two loads: fitting ones and ones of the wrong type."""
     supplier = table(spark, sf_dir, "supplier")
     root = scratch_path(spark, "admission")
     sources.export_csv(supplier, f"{root}/good")
@@ -164,6 +212,8 @@ QUERIES = {
     "detect_delimiter": Query(detect_delimiter, DELIMITER_SQL),
     "chunked_csv_union": Query(
         chunked_csv_union, "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"),
+    "csv_parts_union": Query(csv_parts_union, PARTS_SQL),
+    "csv_quoted_breaks": Query(csv_quoted_breaks, BREAKS_SQL),
     "source_admission": Query(source_admission, ADMISSION_SQL),
     "normalize_headers": Query(normalize_headers, "SELECT * FROM customer"),
     "null_tokens": Query(null_tokens, NULL_TOKENS_SQL),

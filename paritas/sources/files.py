@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .heads import file_heads
+
 # Candidate delimiters in order of preference, and the load limits.
 DELIMITERS = (",", ";", "|", "\t")
 SNIFFED_LINES = 5
@@ -31,19 +33,9 @@ def _delimiter_votes(lines: DataFrame, by: list[str]) -> DataFrame:
 def detect_delimiters(spark: SparkSession, path: str) -> DataFrame:
     """``file, delimiter`` for every text file below ``path``, from its first five lines.
 
-    Only lines of a file's first block are numbered, and the group limit that Catalyst derives
-    from the row number keeps five lines per file in each task before anything is shuffled.
+    Some kilobytes of each file are read, however large it is. Files without a byte are left out.
     """
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_position"),
-    )
-    numbered = lines.where(F.col("_start") == 0).withColumn(
-        "_line", F.row_number().over(Window.partitionBy("file").orderBy("_position"))
-    )
-    return _delimiter_votes(numbered.where(F.col("_line") <= SNIFFED_LINES), ["file"])
+    return _delimiter_votes(file_heads(spark, path, SNIFFED_LINES), ["file"])
 
 
 def delimiter_of(spark: SparkSession, path: str) -> str:
