@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..config import ConfigError
 from ..functions import field, fields, fold_nan, typed
 from .quantiles import exact_quantiles
+from .sketches import read_sketches, value_sketches
 
 NUMERIC_ONLY = {"sum", "mean", "median", "std", "var", "prod"}
 REDUCERS = NUMERIC_ONLY | {"first", "last", "min", "max", "count", "nunique"}
@@ -64,11 +65,14 @@ def aggregate(
     reducers: Sequence[tuple[str, str, str]],
     order_by: Sequence[str] | None = None,
     scale: int | None = None,
+    approx: bool = False,
 ) -> DataFrame:
     """One row per complete key for ``(column, reducer, output name)`` triples.
 
     All reducers that combine on the map side share one aggregate. Medians and distinct counts
-    are computed apart and joined on the key, because their state grows with the group.
+    are computed apart and joined on the key, because their state grows with the group. With ``approx`` these two
+    are read from sketches instead: a value of the column whose rank is off by about ``RANK_ERROR`` of the
+    group at most, and a count that is off by some ``DISTINCT_ERROR``.
     """
     keys, names = list(keys), fields(keys)
     rows = drop_incomplete_keys(df, keys)
@@ -76,7 +80,11 @@ def aggregate(
     for column, reducer, name in reducers:
         dtype = df.schema[column].dataType
         check_reducer(reducer, column, dtype)
-        if reducer == "median":
+        if approx and reducer in ("median", "nunique"):
+            kind, read = ("numbers", "p50") if reducer == "median" else ("distinct", "distinct")
+            found = read_sketches(value_sketches(rows, keys, **{kind: [column]}), keys)
+            apart.append((name, found.select(*names, field(f"{column}_{read}").alias(name))))
+        elif reducer == "median":
             apart.append((name, exact_quantiles(rows, keys, column, {name: 0.5})))
         elif reducer == "nunique":
             apart.append((name, distinct_per_key(rows, keys, column, name)))

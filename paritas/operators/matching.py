@@ -28,6 +28,8 @@ BOTH, LEFT_ONLY, RIGHT_ONLY = "both", "left_only", "right_only"
 
 # Names of columns that live inside a join only.
 _HELPER, _FOUND = "_paritas_k", "_paritas_found"
+# Places of a row in the grid of a combination that is hot on both sides.
+_LINE, _COLUMN = "_paritas_line", "_paritas_column"
 # Digits of the largest value of each integral type.
 _WHOLE_DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
 
@@ -215,10 +217,41 @@ class Matcher:
 
     # -- rows -----------------------------------------------------------------------------
 
-    def matched(self) -> DataFrame:
-        """Rows present on both sides."""
+    def matched(self, grid_rows: int | None = None) -> DataFrame:
+        """Rows present on both sides.
+
+        A combination with many rows on both sides yields their product, which no join can split on either side
+        alone. With ``grid_rows`` such combinations, of at least so many rows on each side, are cut into a grid: rows of
+        one side are dealt over its lines and repeated for its columns, those of the other the other way round, so
+        that a task forms the product of about ``grid_rows`` by ``grid_rows`` rows. All others are joined as they are.
+        """
         left, right = self.sides.source.keyed(), self.sides.target.keyed()
-        return self._shape(left.join(right, self._same(left, right), "inner"), BOTH, left, right)
+        if grid_rows is None or self.sides.source_is_unique:
+            return self._shape(left.join(right, self._same(left, right), "inner"), BOTH, left, right)
+        hot = self._hot_on_both_sides(left, right, grid_rows)
+        left, right = self._dealt(left, hot, _LINE, _COLUMN), self._dealt(right, hot, _COLUMN, _LINE)
+        cell = (left[_LINE] == right[_LINE]) & (left[_COLUMN] == right[_COLUMN])
+        return self._shape(left.join(right, self._same(left, right) & cell, "inner"), BOTH, left, right)
+
+    def _hot_on_both_sides(self, left: DataFrame, right: DataFrame, grid_rows: int) -> DataFrame:
+        """The combinations with many rows on both sides, at most one in ``grid_rows`` rows, with the lines and columns
+        of their grids."""
+        many = F.count(F.lit(1))
+        one, other = (side.groupBy(*self.sides.helpers).agg(F.ceil(many / grid_rows).alias(name), many.alias("_n"))
+                      .where(F.col("_n") >= grid_rows).drop("_n") for side, name in ((left, _LINE), (right, _COLUMN)))
+        found = one.join(other, self._same(one, other), "inner")
+        return found.select(*[one[h].alias(f"{h}_hot") for h in self.sides.helpers],
+                            one[_LINE].alias(f"{_LINE}_hot"), other[_COLUMN].alias(f"{_COLUMN}_hot"))
+
+    def _dealt(self, rows: DataFrame, hot: DataFrame, own: str, other: str) -> DataFrame:
+        """``rows`` with their places in the grid: one of ``own`` and each of ``other``; (0, 0) if not hot."""
+        same = reduce(lambda a, b: a & b, [F.col(h).eqNullSafe(F.col(f"{h}_hot")) for h in self.sides.helpers])
+        lines, columns = (F.coalesce(F.col(f"{name}_hot"), F.lit(1)) for name in (own, other))
+        placed = rows.join(hot, same, "left").select(
+            *fields(rows.columns), F.pmod(F.monotonically_increasing_id(), lines).alias(own),
+            F.sequence(F.lit(0).cast("long"), columns - 1).alias("_all"))
+        # renewed columns, since both sides stem from the same counts
+        return placed.select(*[field(c).alias(c) for c in (*rows.columns, own)], F.explode("_all").alias(other))
 
     def left_only(self) -> DataFrame:
         """Source rows without a partner."""
@@ -235,14 +268,14 @@ class Matcher:
     def unmatched(self) -> DataFrame:
         return self.left_only().unionByName(self.right_only())
 
-    def merged(self) -> DataFrame:
-        """All rows of both sides with the indicator.
+    def merged(self, grid_rows: int | None = None) -> DataFrame:
+        """All rows of both sides with the indicator; ``grid_rows`` as for ``matched``.
 
         When the source holds one row per key the target can be joined from the left, which
         finds matched and target-only rows together.
         """
         if not self.sides.source_is_unique:
-            return self.matched().unionByName(self.unmatched())
+            return self.matched(grid_rows).unionByName(self.unmatched())
         left = self.sides.source.keyed().withColumn(_FOUND, F.lit(True))
         right = self.sides.target.keyed()
         rows = right.join(left, self._same(right, left), "left")

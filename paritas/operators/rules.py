@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..config import ALLOWED_RULE, NULL_RULE, RANGE_RULE, REGEX_RULE, UNIQUE_RULE, Rule, RuleSet
 from ..functions import (
+    field,
     fields,
     fold_nan,
     is_missing,
@@ -25,6 +26,7 @@ from ..functions import (
     to_numeric,
     typed,
 )
+from .sketches import read_sketches, value_sketches
 
 # The headers of a printed result, in place of the column names used here.
 REPORT_HEADERS = {
@@ -171,16 +173,30 @@ def _unique_count(df: DataFrame, no: int, rule: Rule) -> DataFrame:
     )
 
 
-def rule_counts(df: DataFrame, rules: RuleSet) -> DataFrame:
+def _unique_counts_approx(df: DataFrame, numbered: Sequence[tuple[int, Rule]]) -> DataFrame:
+    """Counts of all uniqueness rules from distinct sketches, in one aggregate over one scan."""
+    columns = list(dict.fromkeys(rule.column for _, rule in numbered))
+    row = read_sketches(value_sketches(df, [], distinct=columns), [])
+    passed = [F.least(F.col("n_rows"), field(f"{rule.column}_distinct")) for _, rule in numbered]
+    entries = F.array(*[
+        F.struct(F.lit(no).alias("rule_no"), F.lit(rule.column).alias("column_name"), F.lit(rule.name).alias("rule"),
+                 n.alias("pass_count"), (F.col("n_rows") - n).alias("fail_count"), F.col("n_rows").alias("_total"))
+        for n, (no, rule) in zip(passed, numbered)])
+    return row.select(F.inline(entries))
+
+
+def rule_counts(df: DataFrame, rules: RuleSet, approx: bool = False) -> DataFrame:
     """``rule_no, column_name, rule, pass_count, fail_count, pass_pct, status`` per rule.
 
     One scan for all row-wise rules and one, pruned to its column, for each uniqueness rule: a
-    joint distinct count would multiply every row by the number of columns instead.
+    joint distinct count would multiply every row by the number of columns instead. With ``approx`` all
+    uniqueness rules share one scan, and their counts are off by some ``DISTINCT_ERROR`` of the distinct values.
     """
     numbered = list(enumerate(rules.rules))
     row_wise = [(no, rule) for no, rule in numbered if rule.name != UNIQUE_RULE]
     parts = [_counts(df, row_wise)] if row_wise else []
-    parts += [_unique_count(df, no, rule) for no, rule in numbered if rule.name == UNIQUE_RULE]
+    unique = [(no, rule) for no, rule in numbered if rule.name == UNIQUE_RULE]
+    parts += [_unique_counts_approx(df, unique)] if approx and unique else [_unique_count(df, *u) for u in unique]
     if not parts:
         return df.sparkSession.createDataFrame(
             [], "rule_no int, column_name string, rule string, pass_count bigint, "

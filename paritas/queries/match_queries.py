@@ -31,6 +31,21 @@ def reconcile_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_matcher(spark, sf_dir).merged()
 
 
+def hot_key_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers against suppliers of their nation: every key has many rows on both sides, and their product."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").where("s_nationkey % 5 <> 0")
+    matcher = Matcher(customer, supplier, {"key_source": ["c_nationkey"], "key_target": ["s_nationkey"], "mappings": {}})
+    return matcher.merged(grid_rows=4)
+
+
+HOT_KEY_SQL = """
+SELECT c_custkey, c_nationkey::VARCHAR AS c_nationkey, s_suppkey, s_nationkey::VARCHAR AS s_nationkey,
+       CASE WHEN s_nationkey IS NULL THEN 'left_only' WHEN c_nationkey IS NULL THEN 'right_only' ELSE 'both' END AS _merge
+FROM customer FULL JOIN (SELECT * FROM supplier WHERE s_nationkey % 5 <> 0) ON c_nationkey = s_nationkey
+"""
+
+
 def merge_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = order_matcher(spark, sf_dir).merged()
     return merged.groupBy("_merge").agg(F.count(F.lit(1)).alias("row_count"))
@@ -260,6 +275,7 @@ QUERIES = {
     "merged_sample": Query(merged_sample, MERGED_SAMPLE_SQL),
     "exact_decimals": Query(exact_decimals, EXACT_SQL),
     "reconcile_full_outer": Query(reconcile_full_outer, ORDER_SQL + f"SELECT {_COLUMNS} FROM merged"),
+    "hot_key_merge": Query(hot_key_merge, HOT_KEY_SQL),
     "merge_indicator": Query(
         merge_indicator, ORDER_SQL + "SELECT _merge, COUNT(*) AS row_count FROM merged GROUP BY _merge"),
     "matched_rows": Query(matched_rows, ORDER_SQL + f"SELECT {_COLUMNS} FROM merged WHERE _merge = 'both'"),
