@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.accuracy import KEYS, KEYS_AND_VALUES, mapping_accuracy
 from ..operators.accuracy import key_match_stats as key_stats
+from ..operators.aggregates import aggregate
 from ..operators.matching import Matcher, first_per_key, rows_with_keys
 from ..plans import evaluate_mapping as evaluate
 from ..plans import execute_matching as match
@@ -98,14 +97,9 @@ WHERE place = 1
 
 
 def inner_join_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aggregates computed apart and joined on the key; the same as one joint aggregate."""
-    lineitem = table(spark, sf_dir, "lineitem")
-    parts = [
-        lineitem.groupBy("l_suppkey").agg(expr)
-        for expr in (F.sum("l_quantity").alias("total"), F.max("l_linenumber").alias("highest"),
-                     F.min("l_tax").alias("lowest_tax"))
-    ]
-    return reduce(lambda a, b: a.join(b, "l_suppkey"), parts)
+    """Reducers of several columns per key: one aggregate holds what joining one per column would."""
+    triples = [("l_quantity", "sum", "total"), ("l_linenumber", "max", "highest"), ("l_tax", "min", "lowest_tax")]
+    return aggregate(table(spark, sf_dir, "lineitem"), ["l_suppkey"], triples)
 
 
 INNER_AGG_SQL = """

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from .. import functions as fn
 from .. import sources
 from ..config import ALLOWED_RULE, NULL_RULE, RANGE_RULE, REGEX_RULE, UNIQUE_RULE, Rule
-from ..functions.folding import substitutions
 from ..operators import keys as key_ops
 from ..config import TableMapping
 from ..operators.digest import row_digest as digest_of
@@ -112,20 +111,27 @@ FROM orders
 """
 
 
+# Compatibility characters and how they read once folded, written out by hand.
+_FOLDED = {"ﬁx": "fix", "½": "12", "Ⅷ": "viii", "№ 5": "no 5", "x™": "xtm", "a…": "a...", "ＡＢｃ": "abc", "ß": "", "㎏²": "kg2",
+           "Å": "a", "ǅ": "dz", " ": ""}
+
+
 def normalize_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return key_ops.normalize_keys(documents, ["text", "lang", "absent"])
+    """Whole texts, each with one of the compatibility characters behind it."""
+    documents = table(spark, sf_dir, "documents")
+    ending = F.get(F.array(*[F.lit(text) for text in _FOLDED]), (F.col("doc_id") % len(_FOLDED)).cast("int"))
+    rows = documents.select("doc_id", F.concat("text", ending).alias("text"), F.concat(F.lit(" "), "lang", ending).alias("lang"))
+    return key_ops.normalize_keys(rows, ["text", "lang", "absent"])
 
 
 def _normal_sql(col: str) -> str:
-    """The substitution tables as nested SQL functions."""
-    single, several = substitutions()
-    inner = rf"regexp_replace(regexp_replace({col}, '^[\s\x1c-\x1f\x{{85}}\pZ]+', ''), '[\s\x1c-\x1f\x{{85}}\pZ]+$', '')"
-    for char, to in several.items():
-        if char in "…‥™ﬁﬂ½¼¾№":
-            inner = f"replace({inner}, '{char}', '{to}')"
-    return (f"lower(regexp_replace(translate({inner}, '{''.join(single)}', "
-            f"'{''.join(single.values()).replace(chr(39), chr(39) * 2)}'), '[^\\x00-\\x7F]', '', 'g'))")
+    """The same by DuckDB's own removal of accents, and the folded endings as literals."""
+    space = r"[\s\x1c-\x1f\x{85}\pZ]+"
+    endings = " ".join(f"WHEN {i} THEN '{text}'" for i, text in enumerate(_FOLDED.values()))
+    bare = f"regexp_replace({col}, '^{space}', '')"
+    stripped = f"CASE WHEN doc_id % {len(_FOLDED)} = {len(_FOLDED) - 1} THEN regexp_replace({bare}, '{space}$', '') ELSE {bare} END"
+    return (f"lower(regexp_replace(strip_accents({stripped}), '[^\\x00-\\x7F]', '', 'g')) || "
+            f"CASE doc_id % {len(_FOLDED)} {endings} END")
 
 
 NORMALIZE_SQL = f"""

@@ -317,26 +317,25 @@ def validation_detail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detail_counts(gappy_events(spark, sf_dir), EVENT_RULES)
 
 
-_CUSTOMER = ("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+_CUSTOMER = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
 
 
 def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile(table(spark, sf_dir, "customer").select(*_CUSTOMER), ["c_custkey"])
+    return profile(table(spark, sf_dir, "customer"), ["c_custkey"])
 
 
 def _profile_sql() -> str:
-    types = {"c_custkey": "bigint", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
     preview = """
 SELECT 'preview' AS section, CAST(NULL AS VARCHAR) AS column_name, 'row' AS metric,
-       '{"c_custkey":' || c_custkey || ',"c_nationkey":' || c_nationkey || ',"c_acctbal":' || c_acctbal ||
+       '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || ',"c_acctbal":' || c_acctbal ||
        ',"c_mktsegment":"' || c_mktsegment || '"}' AS value
 FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 5) AS head
 """
     parts = [preview]
     for name in _CUSTOMER:
-        parts.append(f"SELECT 'types', '{name}', 'type', '{types[name]}'")
+        parts.append(f"SELECT 'types', '{name}', 'type', '{_CUSTOMER[name]}'")
         parts.append(f"SELECT 'nulls', '{name}', 'null_count', CAST(COUNT(*) - COUNT({name}) AS VARCHAR) FROM customer")
-    for name in _CUSTOMER[:3]:
+    for name in [n for n, kind in _CUSTOMER.items() if kind != "string"]:
         exprs = {
             "count": f"CAST(COUNT({name}) AS VARCHAR)",
             "mean": f"printf('%.6f', AVG({name}))",
@@ -347,7 +346,8 @@ FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 5) AS head
                for n, q in profiling.QUARTILES.items()},
         }
         parts += [f"SELECT 'summary', '{name}', '{m}', {e} FROM customer" for m, e in exprs.items()]
-    top = f"WITH d AS ({_categorical_sql('customer', 'c_mktsegment')}) "
+    texts = [_categorical_sql("customer", n) for n, kind in _CUSTOMER.items() if kind == "string"]
+    top = f"WITH d AS ({' UNION ALL '.join(texts)}) "
     for metric in ("count", '"unique"', "top", "freq"):
         parts.append(f"SELECT 'summary', column_name, '{metric.strip(chr(34))}', CAST({metric} AS VARCHAR) FROM d")
     return top + " UNION ALL ".join(parts)
