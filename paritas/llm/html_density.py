@@ -36,7 +36,7 @@ _P_ENDS = BLOCK - {"html", "body", "li", "dt", "dd", "td", "th", "tr", "tbody",
                    "summary"}
 #: Elements that are never part of an article.
 OUTSIDE = RAW | frozenset(
-    "head nav footer aside form button select input menu dialog object canvas audio video".split())
+    "head nav footer aside button select input menu dialog object canvas audio video".split())
 #: Words in a class, id or role that mark an element as outside of the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent "
@@ -44,6 +44,12 @@ MARKS = frozenset(
     "navigation menu menus breadcrumb breadcrumbs footer masthead share sharing social related newsletter "
     "subscribe subscription signup login popup modal overlay widget widgets toolbar pagination pager "
     "contentinfo complementary search skip".split())
+#: Marks of what readers and notices say; the others also stand in the names of wrappers around an article, such as
+#: ``content-sidebar-wrap`` or ``ad-free``.
+PLAIN_MARKS = frozenset("comment comments disqus respond reply replies cookie cookies consent gdpr".split())
+#: A form, or an element with a mark as a part of a name, is a wrapper if it holds so many times the text that stands
+#: outside of all of them; else it is left out.
+WRAPPER_SHARE = 4
 _KEPT_WHOLE = frozenset("html body main article".split())
 
 _TOKENS = re.compile(
@@ -56,28 +62,74 @@ _WORDS = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("name", "children", "inside", "chars", "tags", "link_chars", "link_tags", "density",
+    __slots__ = ("name", "children", "inside", "doubtful", "chars", "tags", "link_chars", "link_tags", "density",
                  "density_sum", "best")
 
-    def __init__(self, name: str, inside: bool):
+    def __init__(self, name: str, inside: bool, doubtful: bool = False):
         self.name = name
         self.children: list[Node | str] = []
         self.inside = inside
+        self.doubtful = doubtful
 
 
-def _is_outside(name: str, attributes: str, parents: list[Node]) -> bool:
+def _is_outside(name: str, attributes: str, parents: list[Node]) -> tuple[bool, bool]:
+    """Whether an element is outside of the article, and whether that depends on the text it holds."""
     if name in OUTSIDE:
-        return True
+        return True, False
     if name in _KEPT_WHOLE:
-        return False
+        return False, False
     if name == "header" and not any(p.name in ("article", "main") for p in parents):
-        return True
-    if not attributes:
-        return False
+        return True, False
     if _HIDDEN.search(attributes):
-        return True
-    return any(w in MARKS for m in _MARKED.finditer(attributes)
-               for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
+        return True, False
+    doubtful = name == "form"
+    for found in _MARKED.finditer(attributes):
+        for token in (found[1] or found[2] or found[3] or "").lower().split():
+            words = _WORDS.findall(token)
+            marks = MARKS.intersection(words)
+            if marks and (len(words) == 1 or marks & PLAIN_MARKS):
+                return True, False
+            doubtful |= bool(marks)
+    return False, doubtful
+
+
+def settle_doubts(root: Node) -> None:
+    """Doubtful elements become plain ones if they wrap most of the text, and are left out else. Outer ones are decided
+    first, then those with more text; what a wrapper holds counts as outside for those within. Links are no text here."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(c for c in node.children if isinstance(c, Node) and c.name != "a")
+    own, whole = {}, {}
+    for node in reversed(order):
+        own[id(node)] = sum(_visible(c) for c in node.children if isinstance(c, str))
+        whole[id(node)] = own[id(node)] + sum(whole.get(id(c), 0) for c in node.children if isinstance(c, Node))
+    outside, tops = 0, [root]
+    while tops:
+        held: list[tuple[Node, Node]] = []  # the nearest doubtful elements below, with their parents
+        todo = list(tops)
+        while todo:
+            node = todo.pop()
+            outside += own.get(id(node), 0)
+            for child in node.children:
+                if isinstance(child, Node):
+                    if child.doubtful:
+                        held.append((node, child))
+                    else:
+                        todo.append(child)
+        tops, parents, most = [], {}, outside
+        for parent, node in sorted(held, key=lambda h: -whole.get(id(h[1]), 0)):
+            text = whole.get(id(node), 0)
+            if text and text >= WRAPPER_SHARE * most:
+                node.doubtful = False
+                most += text
+                tops.append(node)
+            else:
+                parents[id(parent)] = parent
+        for parent in parents.values():
+            parent.children[:] = [c if not isinstance(c, Node) or not c.doubtful else Node("hr", True)
+                                  for c in parent.children if not isinstance(c, Node) or not c.doubtful or c.name in BLOCK]
 
 
 def parse(page: str) -> Node:
@@ -133,10 +185,11 @@ def parse(page: str) -> Node:
         if name not in VOID and (len(stack) > 1 and stack[-1].name == "head" and name in BLOCK):
             drop_to(len(stack) - 1)
         parent = stack[-1]
-        node = Node(name, parent.inside and not _is_outside(name, attributes, stack))
+        outside, doubtful = _is_outside(name, attributes, stack)
+        node = Node(name, parent.inside and not outside, parent.inside and doubtful and name not in VOID)
         if name == "br":
             parent.children.append(" ")
-        elif parent.inside and node.inside and name not in BLOCK and name != "a":
+        elif parent.inside and node.inside and name not in BLOCK and name != "a" and not node.doubtful:
             node.children = parent.children  # formatting: its text is its parent's
         elif parent.inside and node.inside:
             parent.children.append(node)
@@ -147,6 +200,7 @@ def parse(page: str) -> Node:
         stack.append(node)
         if name in RAW and name not in ("noscript", "svg", "template"):
             raw_end = name
+    settle_doubts(root)
     return root
 
 

@@ -50,6 +50,32 @@ def test_odd_pages(page, text):
     assert main_text(page) == text
 
 
+LONG_TEXT = " ".join(f"Sentence number {i} of the article goes on for quite a few words." for i in range(18))
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<div class='content-sidebar-wrap'>", "<div class='layout has-sidebar'>", "<form id=aspnetForm>", "<div id='search-result-page'>",
+    "<div class='post share-enabled'>", "<div class='article ad-free'>", "<div class='no-sidebar'><form><div class='nav-open'>"])
+def test_wrappers_with_hostile_names_keep_their_article(wrapper):
+    around = ("<header>Site</header>{}<h2>Title</h2><p>" + LONG_TEXT + "</p><p>" + LONG_TEXT + "</p><div class='main-sidebar'>"
+              "<p>Not a part of it, though it is a sentence.</p></div><form class=search-form>Search here<input></form>"
+              "<section class='comments'><p>" + LONG_TEXT * 3 + "</p></section><span class='share-count'>17</span>")
+    assert main_text(around.format(wrapper)) == f"Title\n{LONG_TEXT}\n{LONG_TEXT}"
+
+
+def test_many_nested_and_neighbouring_marks_take_no_long():
+    deep = "<div class='ad-free'>" * 20_000 + "<p>" + LONG_TEXT
+    assert main_text(deep) == LONG_TEXT
+    wide = f"<p>{LONG_TEXT}</p>" + "<span class='share-count'>17</span>" * 50_000
+    assert main_text(wide) == LONG_TEXT
+
+
+def test_marked_parts_beside_an_article_stay_out():
+    for name in ("comment-list", "site-footer", "related-posts", "cookie-notice", "social-share", "sidebar"):
+        page = f"<div><h1>Title</h1><p>{LONG_TEXT}</p></div><div class='{name}'><p>{LONG_TEXT} And more.</p></div>"
+        assert main_text(page) == f"Title\n{LONG_TEXT}", name
+
+
 def test_cutting_a_page_anywhere_never_fails():
     for n in range(0, len(PAGE), 7):
         main_text(PAGE[:n])
