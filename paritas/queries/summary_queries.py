@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ALLOWED_RULE, NULL_RULE, RANGE_RULE, REGEX_RULE, UNIQUE_RULE, Rule, RuleSet
-from ..operators import aggregates, digest, keys, mapping, profiling
+from ..operators import aggregates, digest, keys, mapping, profiling, sketches
 from ..operators.rules import rule_counts
 from ..plans import audit_document
 from ..plans import audit_report as audit
@@ -317,6 +317,24 @@ def validation_detail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detail_counts(gappy_events(spark, sf_dir), EVENT_RULES)
 
 
+def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches per supplier, merged to one per return flag, held against the exact numbers of the same table."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    stored = sketches.value_sketches(lineitem, ["l_returnflag", "l_suppkey"], ["l_partkey"], ["l_extendedprice"])
+    found = sketches.read_sketches(sketches.merged_sketches(stored, ["l_returnflag"]), ["l_returnflag"])
+    exact = aggregates.aggregate(lineitem, ["l_returnflag"], [("l_partkey", "nunique", "parts")])
+    ranks = lineitem.join(found.select("l_returnflag", "l_extendedprice_p50"), "l_returnflag").groupBy("l_returnflag").agg(
+        F.avg((F.col("l_extendedprice") < F.col("l_extendedprice_p50")).cast("double")).alias("below"))
+    close = F.abs(F.col("l_partkey_distinct") - F.col("parts")) <= 4 * sketches.DISTINCT_ERROR * F.col("parts") + 1
+    near = F.abs(F.col("below") - 0.5) <= 3 * sketches.RANK_ERROR
+    return found.join(exact, "l_returnflag").join(ranks, "l_returnflag").select(
+        "l_returnflag", "n_rows", close.alias("distinct_is_close"), near.alias("median_is_close"))
+
+
+MERGED_SKETCHES_SQL = """
+SELECT l_returnflag, COUNT(*) AS n_rows, TRUE AS distinct_is_close, TRUE AS median_is_close FROM lineitem GROUP BY l_returnflag
+"""
+
 _CUSTOMER = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
 
 
@@ -438,6 +456,7 @@ QUERIES = {
     "count_rows": Query(count_rows, "SELECT COUNT(*) AS n_rows, 11 AS n_columns FROM lineitem"),
     "rule_nulls": Query(_rule(Rule("amount", NULL_RULE)), _rule_sql(0)),
     "rule_range": Query(_rule(Rule("amount", RANGE_RULE, low=0.0, high=100.0)), _rule_sql(1)),
+    "merged_sketches": Query(merged_sketches, MERGED_SKETCHES_SQL),
     "rule_uniqueness": Query(_rule(Rule("user_id", UNIQUE_RULE)), _rule_sql(2)),
     "rule_allowed": Query(_rule(Rule("event_type", ALLOWED_RULE, allowed=("click", "view"))), _rule_sql(3)),
     "rule_regex": Query(_rule(Rule("event_type", REGEX_RULE, pattern="^(?:p|s)")), _rule_sql(4)),
