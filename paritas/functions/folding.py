@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NOT_ASCII = r"[^\x00-\x7F]+"
+_OTHER = r"[^\x00-\x7F]"
 
 
 @lru_cache(maxsize=1)
@@ -35,35 +34,20 @@ def substitutions() -> tuple[dict[str, str], dict[str, str]]:
     return single, several
 
 
-def _spans(chars: Iterable[str], gap: int = 64) -> str:
-    """A short character class that covers the characters; neighbours close by are included."""
-    spans: list[list[int]] = []
-    for code in sorted(map(ord, chars)):
-        if spans and code - spans[-1][1] <= gap:
-            spans[-1][1] = code
-        else:
-            spans.append([code, code])
-    return "[" + "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in spans) + "]"
-
+def ascii_fold(col: Column) -> Column:
+    """Decompose and drop what is not ASCII: ``São`` to ``Sao``, ``ﬁ`` to ``fi``, ``ß`` to nothing.
 
-def _expand(col: Column, several: dict[str, str]) -> Column:
+    A text is cut around its other characters, which are looked up one by one; what lies between stays as it is.
+    """
+    single, several = substitutions()
     table = F.create_map(*[F.lit(part) for pair in several.items() for part in pair])
-    known = list(several)
-    # The membership test is a hash lookup, the map is searched entry by entry.
-    return F.array_join(
-        F.transform(
-            F.split(col, ""),
-            lambda ch: F.when(ch.isin(known), F.try_element_at(table, ch)).otherwise(ch),
-        ),
-        "",
-    )
 
+    def folded(piece: Column) -> Column:
+        # the membership test is a hash lookup, the map is searched entry by entry
+        expanded = F.when(piece.isin(list(several)), F.try_element_at(table, piece)).otherwise(
+            F.translate(piece, "".join(single), "".join(single.values())))
+        return F.when(F.ascii(piece) < 128, piece).when(F.ascii(expanded) < 128, expanded).otherwise("")
 
-def ascii_fold(col: Column) -> Column:
-    """Decompose and drop what is not ASCII: ``São`` to ``Sao``, ``ﬁ`` to ``fi``, ``ß`` to nothing."""
-    single, several = substitutions()
-    expanded = F.when(col.rlike(_spans(several)), _expand(col, several)).otherwise(col)
-    folded = F.regexp_replace(
-        F.translate(expanded, "".join(single), "".join(single.values())), _NOT_ASCII, ""
-    )
-    return F.when(col.rlike(_NOT_ASCII), folded).otherwise(col)
+    # never between the two halves of a character beyond the first plane
+    pieces = F.split(col, rf"(?![\x{{DC00}}-\x{{DFFF}}])(?:(?<={_OTHER})|(?={_OTHER}))")
+    return F.when(col.rlike(_OTHER), F.array_join(F.transform(pieces, folded), "")).otherwise(col)
