@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import TableMapping
 from ..functions import fields, fixed_text
-from ..operators.accuracy import KEYS, key_match_stats, mapping_accuracy
+from ..operators.accuracy import KEYS, accuracy_cells, accuracy_entries, evaluation, match_rate
 from ..operators.digest import dataset_fingerprint
 from ..operators.matching import Matcher
 from ..operators.profiling import (
@@ -104,24 +104,21 @@ def evaluate_mapping(
     """
     plan = TableMapping.of(mapping)
     matcher = Matcher(source, target, plan, order_by)
-    keys = key_match_stats(source, target, matcher)
-    accuracy = mapping_accuracy(target, matcher, target_order, match_on=match_on)
-    mapped = [("mapped_columns", e.column, "destination", e.destinations[0])
-              for e in plan.columns if e.destinations]
-    parts = [
-        source.sparkSession.createDataFrame(
-            mapped, "section string, item string, metric string, value string"),
-        _lines(keys, "key_matches", F.lit("keys"), {c: F.col(c) for c in keys.columns})
-        .withColumnRenamed("column_name", "item"),
-        accuracy.select(
-            F.concat(F.col("kind"), F.lit("_accuracy")).alias("section"),
-            F.col("column_name").alias("item"),
-            F.inline(F.array(*[
-                F.struct(F.lit(m).alias("metric"), F.col(m).cast("string").alias("value"))
-                for m in ("matches", "total", "accuracy")])),
-        ),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    entries = accuracy_entries(matcher)
+    row = evaluation(target, matcher, entries, target_order, match_on, source)
+
+    def line(section: Column, item: Column, metric: str, value: Column) -> Column:
+        return F.struct(section.alias("section"), item.alias("item"), F.lit(metric).alias("metric"),
+                        value.cast("string").alias("value"))
+
+    lines = [line(F.lit("mapped_columns"), F.lit(e.column), "destination", F.lit(e.destinations[0]))
+             for e in plan.columns if e.destinations]
+    lines += [line(F.lit("key_matches"), F.lit("keys"), name, F.col(name))
+              for name in ("total_source_keys", "total_target_keys", "matched_keys")]
+    lines.append(line(F.lit("key_matches"), F.lit("keys"), "match_rate", match_rate()))
+    lines += [line(F.concat(cell["kind"], F.lit("_accuracy")), cell["column_name"], metric, cell[metric])
+              for cell in accuracy_cells(entries) for metric in ("matches", "total", "accuracy")]
+    return row.select(F.inline(F.array(*lines)))
 
 
 def _config_lines(mapping: TableMapping, rules: Mapping) -> list[tuple[str, str, str, str | None]]:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paritas.config import ConfigError
+from paritas.operators.accuracy import key_match_stats, mapping_accuracy
 from paritas.operators.matching import Matcher, first_per_key
 from paritas.plans import evaluate_mapping, execute_matching
 
@@ -238,6 +239,40 @@ def test_evaluation_of_nothing(shops):
     assert lines["aggregation_accuracy", "sales", "accuracy"] == "0%"
 
 
+def test_evaluation_reads_each_side_once(spark, shops, tmp_path):
+    source, target, config = shops
+    source.write.parquet(str(tmp_path / "s"))
+    target.write.parquet(str(tmp_path / "t"))
+    lines = evaluate_mapping(spark.read.parquet(str(tmp_path / "s")), spark.read.parquet(str(tmp_path / "t")), config,
+                             ["shop_id"], ["sales"], "keys_and_values")
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Exchange ") <= 6 and "Join" not in plan
+
+
+def test_evaluation_of_incomplete_and_repeated_keys(spark):
+    source = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (None, "z"), (3, None)], "k int, u string")
+    target = spark.createDataFrame([("1", "x"), ("1", "x"), (None, "z"), ("<NA>", "z"), ("4", "w")], "t string, w string")
+    row = key_match_stats(source, target, Matcher(source, target, mapping([("k", "t")]))).first()
+    # the missing key is no key of the source, but meets both texts of the target
+    assert tuple(row)[:3] == (3, 3, 6) and row.match_rate == "200.00%"
+    two = Matcher(source, target, mapping([("k", "t"), ("u", "w")]))
+    assert tuple(key_match_stats(source, target, two).first())[:3] == (2, 3, 6)
+
+
+def test_accuracy_compares_with_the_first_target_row(spark):
+    source = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, 1.0), (3, 4.0), (5, None)], "k int, v double")
+    target = spark.createDataFrame(
+        [("1", 9.0, 2), ("1", 5.0, 1), ("2", None, 1), ("2", 1.0, 2), ("3", 4.0, None), ("3", 5.0, 1), ("6", 1.0, 1)],
+        "t string, w double, o int")
+    config = {"key_source": ["k"], "key_target": ["t"], "mappings": {
+        "v": {"destinations": ["w"], "function": "Aggregation", "transformation": "sum"}}}
+    matcher = Matcher(source, target, config)
+    # keys 1 (5 = 5), 2 (1, missing) and 3 (4 = 4, a missing place comes first); then those with an equal row anywhere
+    assert tuple(mapping_accuracy(target, matcher, ["o"]).first())[2:] == (2, 3, "66.67%")
+    assert tuple(mapping_accuracy(target, matcher, ["o"], match_on="keys_and_values").first())[2:] == (2, 3, "66.67%")
+    assert tuple(key_match_stats(source, target, matcher).first())[:3] == (4, 4, 3)
+
+
 def test_decimals_are_compared_exactly(spark):
     source = spark.sql("select 1 k, cast('99999999999999.98' as decimal(18,2)) v")
     target = spark.sql("select 1 t, cast('99999999999999.99' as decimal(20,3)) w")
