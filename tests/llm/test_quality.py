@@ -136,8 +136,16 @@ def test_verdicts_follow_the_bands(spark):
     passed["size"] = np.floor(np.log2(passed.n_tokens)).clip(*fertility.LENGTHS)
     texts = docs.toPandas().set_index("doc_id").text
     passed["text"] = texts.loc[passed.doc_id].values
-    for _, group in passed.groupby(["lang", "size"]):
-        once = group.drop_duplicates("text")
+    passed["script"] = passed.text.map(fertility.script_of)
+    once_all = {level: passed.drop_duplicates([*names, "text"]) for level, names in enumerate(
+        (["lang", "size"], ["script", "size"], ["script"], []))}
+    for (lang, script, size), group in passed.groupby(["lang", "script", "size"]):
+        own = (once_all[0][(once_all[0].lang == lang) & (once_all[0]["size"] == size)],
+               once_all[1][(once_all[1].script == script) & (once_all[1]["size"] == size)],
+               once_all[2][once_all[2].script == script], once_all[3])
+        level = next(i for i, texts in enumerate(own) if len(texts) >= fertility.LEAST_TEXTS or i == 3)
+        assert set(group.band_level) == {level}
+        once = own[level]
         inside = np.ones(len(group), dtype=bool)
         for name, digits, low, high in (("chars_per_token", 3, True, True), ("token_entropy", 3, True, False),
                                         ("fallback_share", 4, False, True)):
@@ -151,6 +159,27 @@ def test_verdicts_follow_the_bands(spark):
     assert joined[joined.quality == 1].kept.mean() > 0.98 and joined[joined.quality == 0].kept.mean() < 0.3
 
 
+def test_junk_of_a_rare_language_has_no_bands_of_its_own(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = " ".join(f"x{i * 7919 % 99991}q#{i * 104729 % 9973}zz{i}" for i in range(200))
+    rows = [(-1, junk, "xx"), (-2, junk, "xx"), (-3, junk + " end", None)]
+    rare = docs.where("lang = 'en'").orderBy("doc_id").limit(20).select(
+        (-100 - F.col("doc_id")).alias("doc_id"), F.col("text"), F.lit("yy").alias("lang"))
+    found = {r.doc_id: r for r in fertility.fertility_verdicts(
+        docs.union(spark.createDataFrame(rows, docs.schema)).union(rare), vocabulary_path(PIECES)).collect()}
+    assert all(not found[i].base_failed and not found[i].kept and found[i].band_level > 0 for i in (-1, -2, -3))
+    # clean texts under a rare name of a language are judged like others of their script
+    same = [(found[i], found[-100 - i]) for i in found if i >= 0 and -100 - i in found]
+    assert len(same) == 20 and all(b.band_level is None or b.band_level > 0 for _, b in same)
+    assert sum(b.kept for _, b in same) >= sum(a.kept for a, _ in same) - 1
+
+
+def test_script_of_most_letters():
+    cases = {"": "latin", "abc 1": "latin", "\u00e9t\u00e9": "latin", "\u043f\u0440\u0438\u0432\u0435\u0442 ok": "cyrillic",
+             "\u4f60\u597d a": "han", "\u3053\u3093\u306b\u3061\u306f \u4e16\u754c": "kana", "\u2026 12": "none", "\ud800": "none"}
+    assert {t: fertility.script_of(t) for t in cases} == cases
+
+
 def test_fertility_of_nothing(spark):
     assert fertility.fertility_verdicts(fixtures.empty(spark), vocabulary_path(PIECES)).count() == 0
 
