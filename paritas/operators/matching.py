@@ -30,6 +30,13 @@ BOTH, LEFT_ONLY, RIGHT_ONLY = "both", "left_only", "right_only"
 _HELPER, _FOUND = "_paritas_k", "_paritas_found"
 # Places of a row in the grid of a combination that is hot on both sides.
 _LINE, _COLUMN = "_paritas_line", "_paritas_column"
+# Rows of a combination on either side, and among them those with each set of NaN values.
+_OURS, _THEIRS, _REPEAT = "_paritas_s", "_paritas_t", "_paritas_n"
+#: Binary columns of a side up to which equal rows are counted instead of joined; NaN and NULL match, so each
+#: set of columns that hold NaN has a count of its own.
+COUNTED_BINARY = 3
+#: Equal rows that one task writes out of one count; more are cut into pieces and dealt over the tasks.
+COUNTED_ROWS = 10_000
 # Digits of the largest value of each integral type.
 _WHOLE_DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
 
@@ -153,6 +160,16 @@ def _common_number(a: str, left: T.DataType, b: str, right: T.DataType) -> T.Dat
     return T.DecimalType(whole + scale, scale)
 
 
+def _is_kept(dtype: T.DataType, wider: T.DataType) -> bool:
+    """Whether values of ``dtype`` come back from ``wider`` as they were."""
+    if dtype == wider:
+        return True
+    if isinstance(wider, T.DoubleType):
+        return isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.FloatType))
+    own, other = _digits(dtype), _digits(wider)
+    return own is not None and other is not None and own[0] <= other[0] and own[1] <= other[1]
+
+
 def _same(left: DataFrame, right: DataFrame, helpers: Sequence[str], keys: int) -> Column:
     """Keys are never NULL once they are text; values are compared null-safe."""
     parts = [
@@ -266,8 +283,83 @@ class Matcher:
         return self._shape(rows, RIGHT_ONLY, right=right)
 
     def unmatched(self) -> DataFrame:
+        """Rows of either side without a partner.
+
+        Where every column of both sides is compared, rows are told apart by nothing else: both sides are
+        stacked and counted per combination, and rows are written again from the counts of combinations
+        that one side lacks. That takes a shuffle reduced on the map side and one of the counts left, and no
+        join; a negative zero comes out as zero. Other tables take an anti join on each side.
+        """
+        if self._all_is_compared():
+            return self._counted_difference()
         return self.left_only().unionByName(self.right_only())
 
+    def _all_is_compared(self) -> bool:
+        """Whether the rows of both sides follow from the compared combination."""
+        for side in (self.sides.source, self.sides.target):
+            if set(side.columns) != set(side.compared) or len(self._binary(side)) > COUNTED_BINARY:
+                return False
+            shape = side.keyed().schema
+            if not all(_is_kept(shape[column].dataType, shape[helper].dataType)
+                       for column, helper in zip(side.compared, self.sides.helpers)):
+                return False
+        return True
+
+    @staticmethod
+    def _binary(side: Side) -> list[str]:
+        return [name for name in side.columns if isinstance(side.rows.schema[name].dataType, (T.FloatType, T.DoubleType))]
+
+    def _counted_difference(self) -> DataFrame:
+        helpers, source, target = self.sides.helpers, self.sides.source, self.sides.target
+
+        def counters(side: Side, own: str, other: str) -> DataFrame:
+            """Helpers, and one array of counts a side: a one in the place of the row's set of NaN values."""
+            nan = [F.when(F.isnan(field(name)), 1 << place).otherwise(0)
+                   for place, name in enumerate(self._binary(side))]
+            kind = reduce(lambda a, b: a + b, nan, F.lit(0))
+            return side.keyed().select(*helpers, *[
+                F.when(kind == place, 1).otherwise(0).cast("long").alias(f"{own}{place}")
+                for place in range(1 << len(nan))])
+
+        stacked = counters(source, _OURS, _THEIRS).unionByName(
+            counters(target, _THEIRS, _OURS), allowMissingColumns=True)
+        kinds = {side: range(1 << len(self._binary(rows))) for side, rows in ((_OURS, source), (_THEIRS, target))}
+        counts = [f"{side}{place}" for side, places in kinds.items() for place in places]
+        sizes = stacked.groupBy(*helpers).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
+        ours, theirs = (reduce(lambda a, b: a + b, [F.col(f"{side}{place}") for place in places])
+                        for side, places in kinds.items())
+        cells = F.array(*[F.struct(F.lit(side == _OURS).alias("left"), F.lit(place).alias("nan"), F.col(f"{side}{place}").alias("n"))
+                          for side, places in kinds.items() for place in places])
+        lonely = sizes.where((ours == 0) | (theirs == 0)).select(*helpers, F.inline(cells)).where("n > 0")
+
+        # Pieces of counts are dealt over a fixed number of tasks: by their size in bytes adaptive execution would
+        # put many into one, and each stands for up to COUNTED_ROWS rows.
+        tasks = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pieces = lonely.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COUNTED_ROWS))))
+        rows = pieces.repartition(tasks, *helpers, "left", "nan", "_piece").withColumn(_REPEAT, F.explode(F.sequence(
+            F.lit(1).cast("long"), F.least(F.lit(COUNTED_ROWS), F.col("n") - F.col("_piece") * COUNTED_ROWS))))
+
+        def original(side: Side, name: str) -> Column:
+            dtype = side.rows.schema[name].dataType
+            value = F.col(helpers[side.compared.index(name)]).cast(dtype)
+            binary = self._binary(side)
+            if name not in binary:
+                return value
+            bit = F.col("nan").bitwiseAND(1 << binary.index(name))
+            return F.when(bit != 0, F.lit(float("nan")).cast(dtype)).otherwise(value)
+
+        out = []
+        for name, a, b in self._layout():
+            left = None if a is None else original(source, a)
+            right = None if b is None else original(target, b)
+            if left is None:
+                out.append(F.when(~F.col("left"), right).alias(name))
+            elif right is None:
+                out.append(F.when(F.col("left"), left).alias(name))
+            else:
+                out.append(F.when(F.col("left"), left).otherwise(right).alias(name))
+        return rows.select(*out, F.when(F.col("left"), LEFT_ONLY).otherwise(RIGHT_ONLY).alias(INDICATOR))
+
     def merged(self, grid_rows: int | None = None) -> DataFrame:
         """All rows of both sides with the indicator; ``grid_rows`` as for ``matched``.
 
