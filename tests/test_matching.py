@@ -348,3 +348,56 @@ def test_a_hot_cell_is_split(spark):
         for name in ("autoBroadcastJoinThreshold", "adaptive.skewJoin.skewedPartitionThresholdInBytes",
                      "adaptive.advisoryPartitionSizeInBytes", "adaptive.skewJoin.skewedPartitionFactor"):
             spark.conf.unset(f"spark.sql.{name}")
+
+
+def _generated(df) -> tuple[int, int]:
+    """Rows of ``df``, and rows that explodes wrote on the way."""
+    out = df.groupBy().count()
+    rows = out.collect()[0][0]
+
+    def below(node) -> int:
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return below(node.executedPlan())
+        if "QueryStage" in name:
+            return below(node.plan())
+        found = node.metrics().get("numOutputRows").get().value() if name == "Generate" else 0
+        return found + sum(below(node.children().apply(i)) for i in range(node.children().size()))
+
+    return rows, below(out._jdf.queryExecution().executedPlan())
+
+
+def test_rows_of_grids_grow_as_the_rows_not_as_their_product(spark):
+    generated = {}
+    for n in (400, 1200):
+        source = spark.range(2 * n).select((F.col("id") % 2).alias("k"), F.col("id").alias("a"))
+        target = spark.range(2 * n).select((F.col("id") % 2).alias("t"), F.col("id").alias("b"))
+        matcher = Matcher(source, target, {"key_source": ["k"], "key_target": ["t"], "mappings": {}})
+        rows, generated[n] = _generated(matcher.matched(grid_rows=4))
+        assert rows == 2 * n * n
+    # 32 cells for the 8 tasks: 16 a key, so 4 lines and 4 columns, and each row of both sides comes four times
+    assert generated == {400: 4 * 400 * 4, 1200: 4 * 1200 * 4}
+
+
+@pytest.mark.parametrize("cell_rows", [100_000, 5])
+def test_grids_give_the_rows_of_the_plain_join(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr("paritas.operators.matching.CELL_ROWS", cell_rows)
+    # hot on both sides, on one, on none; missing keys and values; a key that equals the text of a missing one; equal rows
+    source = 30 * [("h", None, 1)] + 20 * [("h", 2.0, 1)] + 9 * [(None, 0.0, 1)] + 9 * [("one", 1.0, 1)] + [("c", 1.0, 1), ("x", 1.0, 1)]
+    target = 17 * [("h", None, 2)] + 5 * [("h", 2.0, 3)] + 6 * [("<NA>", -0.0, 4)] + [("one", 1.0, 5), ("c", 1.0, 6), ("y", None, 7)]
+    config = {"key_source": ["k"], "key_target": ["t"], "mappings": {
+        "v": {"destinations": ["w"], "function": "Conversion mapping", "transformation": None}}}
+    matcher = Matcher(spark.createDataFrame(source, "k string, v double, a long"),
+                      spark.createDataFrame(target, "t string, w double, b long"), config)
+    assert not matcher.sides.source_is_unique and len(matcher.sides.helpers) == 2
+    plain = Counter(map(repr, matcher.merged().collect()))
+    assert sum(plain.values()) == 30 * 17 + 20 * 5 + 9 * 6 + 9 + 1 + 2
+    for broadcast in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        try:
+            assert Counter(map(repr, matcher.merged(grid_rows=4).collect())) == plain
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    empty = Matcher(spark.createDataFrame([], "k string, v double, a long"),
+                    spark.createDataFrame(target, "t string, w double, b long"), config)
+    assert empty.merged(grid_rows=4).count() == len(target)
