@@ -401,3 +401,22 @@ def test_grids_give_the_rows_of_the_plain_join(spark, monkeypatch, cell_rows):
     empty = Matcher(spark.createDataFrame([], "k string, v double, a long"),
                     spark.createDataFrame(target, "t string, w double, b long"), config)
     assert empty.merged(grid_rows=4).count() == len(target)
+
+
+def test_few_shuffle_partitions_make_no_long_task(spark, monkeypatch):
+    source = spark.range(900).select((F.col("id") % 3).alias("k"), F.col("id").alias("a"))
+    target = spark.range(600).select((F.col("id") % 3).alias("t"), F.col("id").alias("b"))
+    matcher = Matcher(source, target, {"key_source": ["k"], "key_target": ["t"], "mappings": {}})
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        tasks = matcher.matched(grid_rows=4).groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count"))
+        rows, longest = tasks.first()
+        # 36 cells for 8 cores, and more tasks than cells
+        assert rows == 3 * 300 * 200 and longest < rows / 4
+        monkeypatch.setattr("paritas.operators.matching.CELL_PAIRS", 600)
+        cells = [r["_paritas_line_hot"] * r["_paritas_column_hot"] for r in matcher._grids(4, 2).collect()]
+        assert len(cells) == 3 and min(cells) >= 300 * 200 / 600
+        assert matcher.matched(grid_rows=4).count() == rows
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
